@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import copies, survivor
-from citeloom.session import read_table
+from citeloom.llm import copies, leakage, packing, pii, sentences, survivor
+from citeloom.session import cut_lineage, read_table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,43 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(keyed).select(F.col("first_id").alias("first_row_id"), "copies")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every stored stretch of text."""
+    return sentences.sentence_rows(read_table(spark, sf_dir, "sentences"), "block_id", F.col("raw_text"))
+
+
+#: Ranks file of the public tokenizer whose tokens measure the documents.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, in tokens of a public tokenizer."""
+    counts = cut_lineage(packing.token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER))
+    return packing.containers(counts)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of an evaluation item."""
+    found = leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), edits=1)
+    return found.where("edits = 0").select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window of an evaluation item within two word edits, with the least number of edits."""
+    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), edits=2)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of personal data in all documents."""
+    return pii.found_places(read_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with typed placeholders in place of personal data."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '^[^\\p{{L}}\\p{{N}}]+', ''), '^https?://[^/]*/', ''), '^(?:doi|pmid)[^\\p{{L}}\\p{{N}}]*', '')"
 _KEYED = f"""
