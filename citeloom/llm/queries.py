@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import copies, leakage, packing, pii, sentences, survivor
+from citeloom.llm import copies, leakage, linkage, packing, pii, sentences, survivor
 from citeloom.session import cut_lineage, read_table
 
 
@@ -28,6 +28,16 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(keyed).select(F.col("first_id").alias("first_row_id"), "copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bibliography entry with every candidate that is the work it cites."""
+    return p6_links(spark, sf_dir).select("entry_id", "cand_id")
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p6_found, with the confidence of each pair."""
+    return linkage.linked(read_table(spark, sf_dir, "bib_entries"), read_table(spark, sf_dir, "candidates"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every stored stretch of text."""
     return sentences.sentence_rows(read_table(spark, sf_dir, "sentences"), "block_id", F.col("raw_text"))
@@ -64,7 +74,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '^[^\\p{{L}}\\p{{N}}]+', ''), '^https?://[^/]*/', ''), '^(?:doi|pmid)[^\\p{{L}}\\p{{N}}]*', '')"
 _KEYED = f"""
