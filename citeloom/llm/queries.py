@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import copies, leakage, linkage, packing, pii, sentences, survivor
+from citeloom.llm import copies, leakage, linkage, names, packing, pii, sentences, survivor
 from citeloom.session import cut_lineage, read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of rows that name the same person or the same organisation."""
+    return names.same_entity_pairs(p1_entities(spark, sf_dir))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every row."""
+    return names.resolve(read_table(spark, sf_dir, "author_names"), frozenset(pii.GIVEN_NAMES))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving row of each field of each group of copies in the reference library."""
     library = read_table(spark, sf_dir, "references_library")
@@ -74,7 +84,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '^[^\\p{{L}}\\p{{N}}]+', ''), '^https?://[^/]*/', ''), '^(?:doi|pmid)[^\\p{{L}}\\p{{N}}]*', '')"
 _KEYED = f"""
