@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,18 +66,31 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def evaluated(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, even where ``use`` reads it in a lambda for every element."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def shingles(words: Column, size: int = 8) -> Column:
     """All windows of ``size`` words; none where there are fewer."""
-    n = F.size(words) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        n = F.size(w) - size + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return evaluated(words, windows)
 
 
 def quote_occurs(quote: Column, text: Column, size: int = 8, least: float = 0.8) -> Column:
     """Whether a quote stands in a text, or at least a share of its windows does."""
-    q, t = normalised(quote), normalised(text)
-    windows = shingles(F.split(q, " "), size)
-    share = F.size(F.filter(windows, lambda w: F.contains(t, w))) / F.greatest(F.size(windows), F.lit(1))
-    return (q != "") & (t != "") & (F.contains(t, q) | ((F.size(windows) > 0) & (share >= least)))
+
+    def occurs(qt: Column) -> Column:
+        q, t = qt["q"], qt["t"]
+        windows = shingles(F.split(q, " "), size)
+        share = evaluated(windows, lambda ws: F.size(F.filter(ws, lambda w: F.contains(t, w))) / F.greatest(F.size(ws), F.lit(1)))
+        return (q != "") & (t != "") & (F.contains(t, q) | ((F.size(windows) > 0) & (share >= least)))
+
+    return evaluated(F.struct(normalised(quote).alias("q"), normalised(text).alias("t")), occurs)
 
 
 def keyword_share(keywords: Column, text: Column) -> Column:

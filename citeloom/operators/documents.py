@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.functions.evidence_text import evaluated
 from citeloom.functions.numbers import expand_numbers
 
 #: Headings of bibliographies, entries, bracketed citations.
@@ -88,7 +89,10 @@ def section_runs(sentences: DataFrame, order: list[str]) -> DataFrame:
 
 def sub_claims(text: Column) -> Column:
     """For each placeholder the text before it and after it, up to its neighbours (H7)."""
-    parts = F.transform(F.split(text, PLACEHOLDER), lambda t: F.btrim(t))
+    return evaluated(F.transform(F.split(text, PLACEHOLDER), lambda t: F.btrim(t)), _around)
+
+
+def _around(parts: Column) -> Column:
     n = F.size(parts) - 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(parts, i).alias("before"), F.element_at(parts, i + 1).alias("after")))).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
 

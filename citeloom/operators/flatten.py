@@ -67,7 +67,7 @@ def as_list(variant: Column) -> Column:
 
 def as_text(variant: Column) -> Column:
     """A scalar as text; null where there is none."""
-    return F.try_variant_get(variant, "$", "string")
+    return F.when(~is_kind(variant, "OBJECT") & ~is_kind(variant, "ARRAY"), F.try_variant_get(variant, "$", "string"))
 
 
 def explode_level(df: DataFrame, keys: list[str], values: Column, pos: str, value: str) -> DataFrame:

@@ -593,7 +593,7 @@ _STYLE_ROWS = ", ".join("(" + ", ".join(("'" + _q(v) + "'") if isinstance(v, str
     f"""WITH styles(style, prefix, suffix, delimiter, collapse, superscript, author_date, number_prefix, number_suffix) AS (VALUES {_STYLE_ROWS}),
 d AS (SELECT DISTINCT doc_id, original_number AS n FROM bib_entries WHERE original_number IS NOT NULL), g AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM d), r AS (SELECT doc_id, min(n) AS a, max(n) AS b FROM g GROUP BY doc_id, island),
 chunks AS (SELECT doc_id, true AS collapse, unnest(CASE WHEN b - a >= 2 THEN [a || '-' || b] WHEN b > a THEN [CAST(a AS VARCHAR), CAST(b AS VARCHAR)] ELSE [CAST(a AS VARCHAR)] END) AS c FROM r UNION ALL SELECT doc_id, false, CAST(n AS VARCHAR) FROM d)
-SELECT doc_id, style AS style_name, prefix || string_agg(number_prefix || c || number_suffix, delimiter ORDER BY TRY_CAST(split_part(c, '-', 1) AS INT)) || suffix AS rendered FROM chunks JOIN styles USING (collapse) WHERE NOT author_date GROUP BY doc_id, style, prefix, suffix"""
+SELECT doc_id, style AS style_name, prefix || list_reduce(list(number_prefix || c || number_suffix ORDER BY TRY_CAST(split_part(c, '-', 1) AS INT)), lambda a, b: a || delimiter || b) || suffix AS rendered FROM chunks JOIN styles USING (collapse) WHERE NOT author_date GROUP BY doc_id, style, prefix, suffix, delimiter"""
 )
 def render_clusters_by_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cited numbers of each document in every numeric style: H18, A20."""

@@ -53,8 +53,8 @@ def library_files(files: DataFrame, table: str = "references_library") -> DataFr
                 try:
                     con.deserialize(bytes(content))
                     have = {r[1] for r in con.execute(f"PRAGMA table_info({table})")}
-                    cols = ", ".join(c if c in have else f"'' AS {c}" for c in LIBRARY_COLUMNS)
-                    got = pd.read_sql_query(f"SELECT {cols} FROM {table}", con).astype(str) if have else None
+                    cols = ", ".join(f"CAST({c} AS TEXT) AS {c}" if c in have else f"'' AS {c}" for c in LIBRARY_COLUMNS)
+                    got = pd.read_sql_query(f"SELECT {cols} FROM {table}", con) if have else None
                 except sqlite3.DatabaseError:
                     got = None
                 finally:
