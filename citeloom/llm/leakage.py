@@ -60,22 +60,26 @@ def word_code(word: str) -> int:
 
 
 class Cgk:
-    """The CGK random walk on windows of codes, and bit-sampling of its output.
+    """CGK random walks on windows of codes, and bit-sampling of their output.
 
-    ``tables`` follows from the target recall: one edit moves the walk for a few steps in expectation, so
-    windows within ``edits`` differ in about ``6 * edits`` of the ``3 * window`` symbols."""
+    One edit moves a walk for a few steps in expectation, so windows within ``edits`` differ in about ``6 * edits`` of
+    the ``3 * window`` symbols, but with a long tail: now and then a walk never comes back into step. The number of
+    tables therefore follows from the target recall, and they are spread over independent walks."""
 
     def __init__(self, window: int = WINDOW, edits: int = 0, recall: float = 0.95, sampled: int = SAMPLED, seed: int = 42):
         self.window, self.edits, self.steps = window, edits, 3 * window
         agree = max(0.1, 1 - 6.0 * edits / self.steps) ** sampled
-        self.tables = 1 if edits == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+        wanted = 1 if edits == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+        self.walks = 1 if edits == 0 else 6 * edits
+        self.per_walk = -(-wanted // self.walks)
+        self.tables = self.walks * self.per_walk
         rng = np.random.default_rng(seed)
-        self.mul = rng.integers(1, 2**63, self.steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, self.steps, dtype=np.uint64)
+        self.mul = rng.integers(1, 2**63, (self.walks, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 2**63, (self.walks, self.steps), dtype=np.uint64)
         self.positions = [np.sort(rng.choice(self.steps, sampled, replace=False)) for _ in range(self.tables)]
         self.mix = rng.integers(1, 2**63, (self.tables, sampled), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def embed(self, windows: np.ndarray) -> np.ndarray:
+    def embed(self, windows: np.ndarray, walk: int = 0) -> np.ndarray:
         """(n, window) codes to (n, 3 * window) symbols; 0 pads behind the end."""
         n = len(windows)
         padded = np.concatenate([windows.astype(np.uint64), np.zeros((n, 1), np.uint64)], axis=1)
@@ -83,20 +87,21 @@ class Cgk:
         out = np.empty((n, self.steps), np.uint64)
         for j in range(self.steps):
             out[:, j] = symbol = padded[rows, at]
-            step = (symbol * self.mul[j] + self.add[j]) >> np.uint64(63)
+            step = (symbol * self.mul[walk, j] + self.add[walk, j]) >> np.uint64(63)
             at = np.minimum(at + step.astype(np.int64), self.window)
         return out
 
     def buckets(self, windows: np.ndarray) -> np.ndarray:
         """(n, tables) bucket numbers."""
-        symbols = self.embed(windows)
         out = np.empty((len(windows), self.tables), np.int64)
-        for t, pos in enumerate(self.positions):
-            h = np.full(len(windows), t + 1, np.uint64)
-            for k, p in enumerate(pos):
-                h = (h ^ symbols[:, p]) * self.mix[t, k]
-                h ^= h >> np.uint64(31)
-            out[:, t] = h.view(np.int64)
+        for walk in range(self.walks):
+            symbols = self.embed(windows, walk)
+            for t in range(walk * self.per_walk, (walk + 1) * self.per_walk):
+                h = np.full(len(windows), t + 1, np.uint64)
+                for k, p in enumerate(self.positions[t]):
+                    h = (h ^ symbols[:, p]) * self.mix[t, k]
+                    h ^= h >> np.uint64(31)
+                out[:, t] = h.view(np.int64)
         return out
 
 

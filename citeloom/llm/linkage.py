@@ -148,7 +148,9 @@ def _levels() -> dict[str, Column]:
         .otherwise(0)
     )
     volume, page = F.array_contains("numbers", F.col("volume")), F.array_contains("numbers", F.col("page"))
-    place = F.when(volume & page, 4).when(volume & F.col("page").isNull(), 3).when(F.col("page").isNull(), 2).when(volume, 1).otherwise(0)
+    # an entry whose numbers are at most its own and a year says nothing of its place
+    silent = F.size(F.filter("numbers", lambda n: ~n.rlike(r"^(?:1[89]|20)\d\d$"))) < 2
+    place = F.when(silent, 2).when(volume & page, 4).when(volume & F.col("page").isNull(), 3).when(F.col("page").isNull(), 2).when(volume, 1).otherwise(0)
     part = F.when(F.col("c_part") == F.col("e_part"), 2).when(F.col("e_part") == "", 1).otherwise(0)
     known = lambda w: F.exists("e_tokens", lambda t: (F.length(t) >= 1) & F.startswith(w, t) & ((F.length(t) >= 3) | (F.length(w) == F.length(t)) | (t == "j")))
     seen = F.size(F.filter("c_journal", known)) / F.greatest(F.size("c_journal"), F.lit(1))
