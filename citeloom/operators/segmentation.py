@@ -7,6 +7,7 @@ parentheses are dropped; the rest are tried against an ordered list of rules, th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,24 +25,37 @@ _OPENERS = "([\"'"
 
 
 def closed_parentheses(text: str) -> list[tuple[int, int]]:
-    """Spans of parentheses that have a partner."""
-    spans, opened = [], []
+    """Spans of outermost parentheses that have a partner, in order."""
+    spans: list[tuple[int, int]] = []
+    opened: list[int] = []
     for m in re.finditer(r"[()]", text):
         if m[0] == "(":
             opened.append(m.start())
         elif opened:
-            spans.append((opened.pop(), m.start()))
+            start = opened.pop()
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, m.start()))
     return spans
 
 
+def _word_start(text: str, end: int) -> int:
+    while end and not text[end - 1].isspace():
+        end -= 1
+    return end
+
+
 def _token(text: str, dot: int) -> str:
-    return re.search(r"\S*$", text[:dot])[0].lstrip(_OPENERS)
+    return text[_word_start(text, dot) : dot].lstrip(_OPENERS)
 
 
 def _abbreviated(text: str, dot: int) -> bool:
-    last_two = re.search(r"(?:\S+ +)?\S+$", text[:dot])
-    forms = {_token(text, dot)} | ({last_two[0].lstrip(_OPENERS)} if last_two else set())
-    return any(re.sub(r"\s+", " ", f.replace(".", "").lower()) in ABBREVIATIONS for f in forms)
+    start = _word_start(text, dot)
+    before = start
+    while before and text[before - 1] == " ":
+        before -= 1
+    forms = (text[start:dot], text[_word_start(text, before) : dot] if before < start else "")
+    return any(re.sub(r"\s+", " ", f.lstrip(_OPENERS).replace(".", "").lower()) in ABBREVIATIONS for f in forms)
 
 
 #: In order; the first rule whose test holds decides whether the candidate ends a sentence.
@@ -61,10 +75,12 @@ def split_sentences(text: str | None) -> list[str]:
     if text is None:
         return []
     held = closed_parentheses(text)
+    starts = [a for a, _ in held]
     cuts = [0]
     for m in _CANDIDATE.finditer(text):
         dot = m.start()
-        if any(a < dot < b for a, b in held):
+        around = bisect_left(starts, dot) - 1
+        if around >= 0 and dot < held[around][1]:
             continue
         token, rest = _token(text, dot), text[m.end() : m.end() + 3]
         if next((ends for test, ends in RULES if test(text, dot, token, rest)), True):
