@@ -546,9 +546,8 @@ def passage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = doc.fill_sections(doc.paragraphs(read_table(spark, sf_dir, "documents")))
     title = doc.paragraphs(read_table(spark, sf_dir, "documents")).where("para_index = 0").select("doc_id", ev.stems(F.col("text")).alias("wanted"))
     scored = paras.join(title, "doc_id").select("doc_id", "para_index", "section", "text", ev.passage_score(F.col("wanted"), F.col("text"), F.col("section")).alias("score"))
-    # only the passages that can be chosen travel: the best by score, enough to fill the budget with the shortest
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "para_index"))).where("r <= 200")
-    grouped = best.groupBy("doc_id").agg(F.collect_list(F.struct("score", F.col("para_index").alias("idx"), "section", "text")).alias("p"))
+    # a document's passages are no more than its own row held
+    grouped = scored.groupBy("doc_id").agg(F.collect_list(F.struct("score", F.col("para_index").alias("idx"), "section", "text")).alias("p"))
     return grouped.select("doc_id", F.inline(ev.select_passages(F.col("p"))))
 
 
@@ -657,10 +656,11 @@ def alphabetic_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     The place comes from a range-partitioned sort and the sizes of its partitions, never from one task."""
     rows = read_table(spark, sf_dir, "bib_entries").where("raw_text is not null").groupBy("doc_id").agg(F.min("raw_text").alias("text"))
     keyed = rows.select("doc_id", F.col("text").isNotNull().alias("ok"), nb.alphabetic_key(F.col("text")).alias("sort_key"))
-    ranged = keyed.repartitionByRange("sort_key", "doc_id").sortWithinPartitions("sort_key", "doc_id").withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange("sort_key", "doc_id").sortWithinPartitions("sort_key", "doc_id").withColumn("part", F.spark_partition_id())
     inside = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("sort_key", "doc_id")))
+    # one row per partition
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return inside.join(before, "part").select("doc_id", "ok", "sort_key", (F.col("before") + F.col("r")).alias("place"))
 
 
@@ -746,8 +746,8 @@ def reconcile_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live entry of each cache key: A23, I2, H42."""
     events = read_table(spark, sf_dir, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), F.col("event_id").alias("value"), "ts")
-    now = events.agg(F.max("ts").alias("now"))
-    live = stores.live_cache(events.join(F.broadcast(now)), F.col("now"))
+    now = events.agg(F.max("ts")).first()[0]
+    live = stores.live_cache(events, F.lit(now))
     return live.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 

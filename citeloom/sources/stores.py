@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TTL_DAYS = 30
-#: Settings that never leave the machine, and the newest project version that is understood.
-SECRETS = ("api_key", "ncbi_api_key", "anthropic_api_key")
+#: How settings end that never leave the machine.
+SECRET_ENDING = "api_key"
+#: The newest project version that is understood.
 PROJECT_VERSION = 2
 
 
@@ -28,7 +29,7 @@ def stable_id(*parts: Column) -> Column:
 
 def write_project(df: DataFrame, path: str) -> None:
     """Projects as JSON lines without secrets, with their version."""
-    df.drop(*SECRETS).withColumn("version", F.lit(PROJECT_VERSION)).write.mode("overwrite").json(path)
+    df.drop(*[c for c in df.columns if c.endswith(SECRET_ENDING)]).withColumn("version", F.lit(PROJECT_VERSION)).write.mode("overwrite").json(path)
 
 
 def read_project(spark: SparkSession, path: str, schema: str) -> DataFrame:
