@@ -80,7 +80,7 @@ def _entry_features(texts: DataFrame) -> DataFrame:
             "e_squeezed": squeezed(F.col("low")),
         }
     )
-    return e.drop("low", "text")
+    return e.withColumn("text_id", F.monotonically_increasing_id()).drop("low", "text")
 
 
 def _candidate_features(candidates: DataFrame) -> DataFrame:
@@ -117,7 +117,12 @@ def _entry_keys(e: DataFrame) -> DataFrame:
     end = F.flatten(F.transform("symbols", lambda g: F.transform("head", lambda h: F.concat_ws("|", F.lit("H"), g, F.right(h, F.lit(4))))))
     year = F.flatten(F.transform("head", lambda h: F.transform(near, lambda y: F.concat_ws("|", F.lit("Y"), y.cast("string"), h))))
     undated = F.concat(F.transform(pairs, lambda p: F.concat_ws("|", F.lit("Q"), p)), F.transform("head", lambda h: F.concat_ws("|", F.lit("Z"), h)))
-    return e.select("text_key", F.explode(F.array_distinct(F.concat(place, start, end, year, undated))).alias("key"))
+    return e.select("text_id", _exploded(F.concat(place, start, end, year, undated)))
+
+
+def _exploded(keys: Column) -> Column:
+    """Keys as 64-bit hashes, one per row; two keys with one hash only add pairs, which are compared like all others."""
+    return F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key")
 
 
 def _candidate_keys(c: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def _candidate_keys(c: DataFrame) -> DataFrame:
     undated = F.when(F.col("c_year").isNull(), F.array(F.concat_ws("|", F.lit("Q"), F.coalesce("volume", F.lit("?")), F.coalesce("page", F.lit("?"))), F.concat_ws("|", F.lit("Z"), "stem")))
     none = F.array().cast("array<string>")
     keys = F.concat(*(F.coalesce(k, none) for k in (place, start, end, year, undated)))
-    return c.select("cand_id", F.explode(F.array_distinct(keys)).alias("key"))
+    return c.select("cand_id", _exploded(keys))
 
 
 def _levels() -> dict[str, Column]:
@@ -196,9 +201,9 @@ def linked(entries: DataFrame, candidates: DataFrame, least: float = 0.5) -> Dat
     keyed = rows.withColumn("text_key", F.sha2("text", 256))
     e = cut_lineage(_entry_features(keyed.groupBy("text_key").agg(F.first("text").alias("text"))))
     c = _candidate_features(candidates)
-    pairs = _entry_keys(e).join(_candidate_keys(c), "key").select("text_key", "cand_id").distinct()
-    compared = pairs.join(e, "text_key").join(c, "cand_id").withColumns(_levels())
-    compared = compared.select("text_key", "cand_id", "work", *LEVELS, _contradiction().alias("ruled_out"))
+    pairs = _entry_keys(e).join(_candidate_keys(c), "key").select("text_id", "cand_id").distinct()
+    compared = pairs.join(e.drop("text_key"), "text_id").join(c, "cand_id").withColumns(_levels())
+    compared = compared.select("text_id", "cand_id", "work", *LEVELS, _contradiction().alias("ruled_out"))
     compared = cut_lineage(compared)
     names = list(LEVELS)
     counts = [(tuple(r[k] for k in names), r["n"]) for r in compared.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -208,7 +213,8 @@ def linked(entries: DataFrame, candidates: DataFrame, least: float = 0.5) -> Dat
     weight = F.lit(float(np.log(rate / (1 - rate))))
     for k, mk, uk in zip(names, m, u):
         weight = weight + F.element_at(F.array(*[F.lit(float(w)) for w in np.log(mk) - np.log(uk)]), F.col(k) + 1)
-    scored = compared.select("text_key", "cand_id", "work", "ruled_out", weight.alias("weight")).where((F.col("weight") >= float(np.log(least / (1 - least)))) & ~F.col("ruled_out"))
-    best = scored.groupBy("text_key").agg(F.max_by("work", F.struct("weight", (-F.col("cand_id")))).alias("work"))
-    kept = scored.join(best, ["text_key", "work"]).select("text_key", "cand_id", (1 / (1 + F.exp(-F.col("weight")))).alias("confidence"))
-    return keyed.select("entry_id", "text_key").join(kept, "text_key").select("entry_id", "cand_id", "confidence")
+    scored = compared.select("text_id", "cand_id", "work", "ruled_out", weight.alias("weight")).where((F.col("weight") >= float(np.log(least / (1 - least)))) & ~F.col("ruled_out"))
+    best = scored.groupBy("text_id").agg(F.max_by("work", F.struct("weight", (-F.col("cand_id")))).alias("work"))
+    kept = scored.join(best, ["text_id", "work"]).select("text_id", "cand_id", (1 / (1 + F.exp(-F.col("weight")))).alias("confidence"))
+    texts = e.select("text_key", "text_id").join(kept, "text_id").drop("text_id")
+    return keyed.select("entry_id", "text_key").join(texts, "text_key").select("entry_id", "cand_id", "confidence")
