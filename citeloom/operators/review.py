@@ -36,7 +36,8 @@ def title_ratio(a: Column, b: Column) -> Column:
 def fuzzy_title_matches(left: DataFrame, right: DataFrame, least: float = TITLE_MATCH) -> DataFrame:
     """(left_id, right_id, ratio) of rows (id, title, year) with like titles and years at most one apart; a year of 0 fits any.
 
-    Titles meet if two of their three rarest words are equal, rarity being counted over ``right``. The ratio decides."""
+    Titles meet if two of their three rarest words are equal, rarity being counted over ``right``, and their years fit.
+    The ratio decides."""
 
     def worded(df: DataFrame) -> DataFrame:
         words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
@@ -47,7 +48,14 @@ def fuzzy_title_matches(left: DataFrame, right: DataFrame, least: float = TITLE_
     def blocked(df: DataFrame, name: str) -> DataFrame:
         rare = worded(df).join(counts, "w").groupBy("id").agg(F.first("title").alias("title"), F.first("year").alias("year"), F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 3).alias("top"))
         pair = evaluated(F.array_sort(F.transform("top", lambda t: t["w"])), lambda t: F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, 3), lambda y: F.concat_ws("|", x, y)))))
-        return rare.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"), F.col("year").alias(f"{name}_year"), F.explode(pair).alias("key"))
+        rows = rare.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"), F.col("year").alias(f"{name}_year"), F.explode(pair).alias("words"))
+        y = F.col(f"{name}_year")
+        text = lambda *ys: F.array(*[v.cast("string") for v in ys])
+        if name == "left":
+            when = F.when(y == 0, F.array(F.lit("any"))).otherwise(F.concat(text(y - 1, y, y + 1), F.array(F.lit("none"))))
+        else:
+            when = F.concat(F.when(y == 0, F.array(F.lit("none"))).otherwise(text(y)), F.array(F.lit("any")))
+        return rows.withColumn("key", F.explode(F.transform(when, lambda w: F.concat_ws("|", F.col("words"), w)))).drop("words")
 
     near = (F.col("left_year") == 0) | (F.col("right_year") == 0) | (F.abs(F.col("left_year") - F.col("right_year")) <= 1)
     pairs = blocked(left, "left").join(blocked(right, "right"), "key").where(near).drop("key").dropDuplicates(["left_id", "right_id"])
