@@ -36,18 +36,13 @@ def title_ratio(a: Column, b: Column) -> Column:
 def fuzzy_title_matches(left: DataFrame, right: DataFrame, least: float = TITLE_MATCH) -> DataFrame:
     """(left_id, right_id, ratio) of rows (id, title, year) with like titles and years at most one apart; a year of 0 fits any.
 
-    Titles meet if two of their three rarest words are equal, rarity being counted over ``right``, and their years fit.
-    The ratio decides."""
-
-    def worded(df: DataFrame) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
-        return df.select("id", "title", F.coalesce("year", F.lit(0)).alias("year"), F.explode(words).alias("w"))
-
-    counts = worded(right).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    Titles meet if two of their three longest words are equal and their years fit. The ratio decides."""
 
     def blocked(df: DataFrame, name: str) -> DataFrame:
-        rare = worded(df).join(counts, "w").groupBy("id").agg(F.first("title").alias("title"), F.first("year").alias("year"), F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 3).alias("top"))
-        pair = evaluated(F.array_sort(F.transform("top", lambda t: t["w"])), lambda t: F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, 3), lambda y: F.concat_ws("|", x, y)))))
+        words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 3))
+        top = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 3)
+        pair = evaluated(F.array_sort(F.transform(top, lambda t: t["w"])), lambda t: F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, 3), lambda y: F.concat_ws("|", x, y)))))
+        rare = df.select("id", "title", F.coalesce("year", F.lit(0)).alias("year"))
         rows = rare.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"), F.col("year").alias(f"{name}_year"), F.explode(pair).alias("words"))
         y = F.col(f"{name}_year")
         text = lambda *ys: F.array(*[v.cast("string") for v in ys])
