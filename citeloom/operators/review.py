@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,45 +17,116 @@ from citeloom.functions.numbers import expand_numbers
 #: Words by which authors speak of their own work.
 SELF_REFERENCE = r"(?i)\b(?:our (?:lab|group|team|previous|earlier|own)|our|we|in our hands)\b"
 TITLE_MATCH = 0.85
+TITLES_A_CELL = 4000
+BIGRAM_BINS = 1024
 
 
 def speaks_of_itself(text: Column) -> Column:
     return F.coalesce(text.rlike(SELF_REFERENCE), F.lit(False))
 
 
-def title_ratio(a: Column, b: Column) -> Column:
-    """Likeness of two titles by matching blocks, on letters, digits and single spaces."""
-
-    @F.pandas_udf("double")
-    def ratio(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(xs, ys)], dtype="float64")
-
-    bare = lambda t: F.btrim(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9 ]+", ""))
-    return ratio(bare(a), bare(b))
+def bare_title(title: Column) -> Column:
+    """Letters, digits and single spaces of a title."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9 ]+", ""))
+
+
+def _bigrams(titles: list[str]) -> np.ndarray:
+    """(n, bins) counts of numbered bigrams (the second ``on`` of a title is another than its first), hashed to bins."""
+    out = np.zeros((len(titles), BIGRAM_BINS), np.float32)
+    for row, t in zip(out, titles):
+        seen: dict[str, int] = {}
+        for k in range(len(t) - 1):
+            g = t[k : k + 2]
+            seen[g] = seen.get(g, 0) + 1
+            row[hash((g, seen[g])) % BIGRAM_BINS] += 1
+    return out
+
+
+def common_lengths(xs: list[str], ys: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of xs[left[k]] and ys[right[k]], bit-parallel, all pairs at once."""
+    letters = {c: n for n, c in enumerate(sorted({c for y in ys for c in y}))}
+    words = max(1, -(-max(map(len, xs), default=0) // 64))
+    masks = np.zeros((len(xs), len(letters) + 1, words), np.uint64)
+    for row, x in zip(masks, xs):
+        for k, c in enumerate(x):
+            if c in letters:
+                row[letters[c], k // 64] |= np.uint64(1 << k % 64)
+    codes = np.full((len(ys), max(map(len, ys), default=0)), len(letters))
+    for row, y in zip(codes, ys):
+        row[: len(y)] = [letters[c] for c in y]
+    open_bits = [np.full(len(left), 2**64 - 1, np.uint64) for _ in range(words)]
+    for k in range(codes.shape[1]):
+        found = masks[left, codes[right, k]]
+        carry = np.zeros(len(left), np.uint64)
+        for w in range(words):
+            v = open_bits[w]
+            hit = v & found[:, w]
+            part = v + hit
+            total = part + carry
+            carry = ((part < v) | (total < part)).astype(np.uint64)
+            open_bits[w] = total | (v & ~found[:, w])
+    return sum(np.bitwise_count(~v).astype(np.int64) for v in open_bits)
+
+
+def like_titles(xs: list[str], ys: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, ratio) of all bare titles with a ratio of ``least`` or more by matching blocks.
+
+    Matching blocks are a common subsequence, so a ratio allows for (1 - ratio) of both lengths in lost and added
+    letters. Each changes at most three bigrams. Pairs that share too few bigrams or letters in order are left out
+    before the ratio is taken; this loses nothing."""
+    out: list[tuple[int, int, float]] = []
+    n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    a, b = _bigrams(xs), _bigrams(ys)
+    for at in range(0, len(xs), 256):
+        both = n[at : at + 256, None] + m[None]
+        edits = np.floor((1 - least) * both + 1e-9)
+        near = np.abs(n[at : at + 256, None] - m[None]) <= edits
+        near &= a[at : at + 256] @ b.T >= (both - 2 - 3 * edits) / 2
+        left, right = np.nonzero(near)
+        for some in range(0, len(left), 50_000):
+            i, j = left[some : some + 50_000], right[some : some + 50_000]
+            kept = both[i, j] - 2 * common_lengths(xs[at : at + 256], ys, i, j) <= edits[i, j]
+            ratios = ((int(p) + at, int(q), SequenceMatcher(None, xs[p + at], ys[q]).ratio()) for p, q in zip(i[kept], j[kept]))
+            out += [r for r in ratios if r[2] >= least]
+    return out
 
 
 def fuzzy_title_matches(left: DataFrame, right: DataFrame, least: float = TITLE_MATCH) -> DataFrame:
     """(left_id, right_id, ratio) of rows (id, title, year) with like titles and years at most one apart; a year of 0 fits any.
 
-    Titles meet if two of their three longest words are equal and their years fit. The ratio decides."""
+    All titles whose years fit are compared, each distinct one once. A title without a letter or digit matches nothing."""
 
-    def blocked(df: DataFrame, name: str) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 3))
-        top = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 3)
-        pair = evaluated(F.array_sort(F.transform(top, lambda t: t["w"])), lambda t: F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, 3), lambda y: F.concat_ws("|", x, y)))))
-        rare = df.select("id", "title", F.coalesce("year", F.lit(0)).alias("year"))
-        rows = rare.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"), F.col("year").alias(f"{name}_year"), F.explode(pair).alias("words"))
+    def named(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(f"{name}_id"), bare_title(F.col("title")).alias(f"{name}_title"), F.coalesce("year", F.lit(0)).cast("int").alias(f"{name}_year"))
+        return rows.where(F.col(f"{name}_title") != "")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
         y = F.col(f"{name}_year")
         text = lambda *ys: F.array(*[v.cast("string") for v in ys])
         if name == "left":
-            when = F.when(y == 0, F.array(F.lit("any"))).otherwise(F.concat(text(y - 1, y, y + 1), F.array(F.lit("none"))))
+            when = F.when(y == 0, F.array(F.lit("any"))).otherwise(F.concat(F.filter(text(y - 1, y, y + 1), lambda v: v != "0"), F.array(F.lit("none"))))
         else:
             when = F.concat(F.when(y == 0, F.array(F.lit("none"))).otherwise(text(y)), F.array(F.lit("any")))
-        return rows.withColumn("key", F.explode(F.transform(when, lambda w: F.concat_ws("|", F.col("words"), w)))).drop("words")
-
-    near = (F.col("left_year") == 0) | (F.col("right_year") == 0) | (F.abs(F.col("left_year") - F.col("right_year")) <= 1)
-    pairs = blocked(left, "left").join(blocked(right, "right"), "key").where(near).drop("key").dropDuplicates(["left_id", "right_id"])
-    return pairs.select("left_id", "right_id", title_ratio(F.col("left_title"), F.col("right_title")).alias("ratio")).where(F.col("ratio") >= least)
+        return rows.select(f"{name}_title", f"{name}_year").distinct().withColumn("key", F.explode(when))
+
+    def cells(cols: tuple[str, str], rows: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*cols), F.col(own)).cast("int").alias(own)
+        return rows.join(sizes, "key").select(*cols, "key", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    def compared(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        got = like_titles(list(xs["left_title"]), list(ys["right_title"]), least) if len(xs) and len(ys) else []
+        i, j = [g[0] for g in got], [g[1] for g in got]
+        pairs = pd.concat([xs[["left_title", "left_year"]].iloc[i].reset_index(drop=True), ys[["right_title", "right_year"]].iloc[j].reset_index(drop=True)], axis=1)
+        return pairs.assign(ratio=np.array([g[2] for g in got], dtype="float64"))
+
+    lefts, rights = named(left, "left"), named(right, "right")
+    l_keys, r_keys = keyed(lefts, "left"), keyed(rights, "right")
+    parts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TITLES_A_CELL).cast("int").alias(name))
+    # crowded years are split on both sides; a part of one and a part of the other meet in one cell
+    sizes = parts(l_keys, "i").join(parts(r_keys, "j"), "key")
+    met = cells(("left_title", "left_year"), l_keys, "i", "j").groupBy("key", "i", "j").cogroup(cells(("right_title", "right_year"), r_keys, "j", "i").groupBy("key", "i", "j"))
+    pairs = met.applyInPandas(compared, "left_title string, left_year int, right_title string, right_year int, ratio double")
+    return pairs.join(lefts, ["left_title", "left_year"]).join(rights, ["right_title", "right_year"]).select("left_id", "right_id", "ratio")
 
 
 def keyword_ranking(rows: DataFrame, keywords: list[str], text: Column, least: int = 2) -> DataFrame:

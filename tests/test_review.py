@@ -1,5 +1,9 @@
 """Selection and review."""
 
+import random
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +49,30 @@ def test_fuzzy_titles(spark):
     assert {(r.left_id, r.right_id) for r in rv.fuzzy_title_matches(left, right).collect()} == {(1, 9), (1, 7)}
 
 
+def test_fuzzy_titles_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    base = ["Colour of fibres in Klik-24 mice", "Bone", "On ageing", "Polymerisation and discriminatuon by colour " * 4, "", None, "?!"]
+    base += [" ".join("".join(rng.choice("abcdeors") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 9))) for _ in range(20)]
+
+    def slips(t):
+        t = list(t or "")
+        for _ in range(rng.randrange(0, 1 + len(t) // 6)):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "ab"])
+        return "".join(t)
+
+    rows = lambda: [(i, t if i % 3 == 0 else slips(t), rng.choice([0, None, -1, 1, 2000, 2001, 2003])) for i, t in enumerate(base * 4)]
+    left, right = rows(), rows()
+    right += [(900, "Color of fibers in Klik24 mice", 0), (901, "Polymerization and discrimination by color " * 4, 0)]
+    bare = lambda t: re.sub("[^a-z0-9 ]+", "", (t or "").lower()).strip(" ")
+    fits = lambda y, z: not y or not z or abs(y - z) <= 1
+    want = {(i, j) for i, t, y in left for j, u, z in right if fits(y, z) and bare(t) and bare(u) and SequenceMatcher(None, bare(t), bare(u)).ratio() >= rv.TITLE_MATCH}
+    schema = "id int, title string, year int"
+    monkeypatch.setattr(rv, "TITLES_A_CELL", 30)
+    got = [(r.left_id, r.right_id) for r in rv.fuzzy_title_matches(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(0, 900), (3, 901)} <= want and (1, 1) in {(i % 27, j % 27) for i, j in want}
+
+
 def test_selection_and_message(spark):
     slots = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))
     assert one(spark, rv.rebuilt_selection(slots, F.array(F.lit("b"), F.lit("c")))) == ["b", "c"]
