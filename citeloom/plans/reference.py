@@ -135,6 +135,11 @@ def identifier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LASTWORD = "lower(list_last(string_split_regex(trim(coalesce({}, '')), '\\s+')))"
 
 
+def _author_year_asked(library: DataFrame) -> DataFrame:
+    last = lambda i: F.try_element_at("authors.last_name", F.lit(i))
+    return library.where("library_id = 'lib-commons'").select(F.col("row_id").alias("ask_id"), last(1).alias("author"), F.when(F.col("row_id") % 2 == 0, last(2)).alias("coauthor"), "year")
+
+
 @query(
     f"""WITH recent AS (SELECT row_id, year, authors, row_number() OVER (PARTITION BY year ORDER BY updated_at DESC NULLS LAST, row_id) AS r FROM references_library WHERE year > 0),
 named AS (SELECT row_id, year, list_transform(authors, lambda a: {_LASTWORD.format('a.last_name')}) AS names FROM recent WHERE r <= 50),
@@ -148,9 +153,22 @@ SELECT DISTINCT ask_id, row_id, priority FROM best WHERE priority = b"""
 def author_year_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author-year citations in the library, first authors before any author: C2, H35."""
     library = read_table(spark, sf_dir, "references_library")
-    last = lambda i: F.try_element_at("authors.last_name", F.lit(i))
-    asked = library.where("library_id = 'lib-commons'").select(F.col("row_id").alias("ask_id"), last(1).alias("author"), F.when(F.col("row_id") % 2 == 0, last(2)).alias("coauthor"), "year")
-    return lib.author_year_lookup(asked, library)
+    return lib.author_year_lookup(_author_year_asked(library), library)
+
+
+@query(
+    f"""WITH named AS (SELECT row_id, year, list_transform(authors, lambda a: {_LASTWORD.format('a.last_name')}) AS names FROM references_library WHERE year > 0),
+flat AS (SELECT row_id, year, names, unnest(names) AS name, unnest(range(len(names))) AS pos FROM named),
+people AS (SELECT row_id, year, name, min(pos) AS pos, any_value(names) AS names FROM flat GROUP BY row_id, year, name),
+asked AS (SELECT row_id AS ask_id, year, {_LASTWORD.format('authors[1].last_name')} AS name, CASE WHEN row_id % 2 = 0 AND trim(authors[2].last_name) <> '' THEN {_LASTWORD.format('authors[2].last_name')} END AS second FROM references_library WHERE library_id = 'lib-commons'),
+hit AS (SELECT ask_id, row_id, CASE WHEN pos = 0 THEN 1 ELSE 2 END AS priority FROM asked JOIN people USING (year, name) WHERE name <> '' AND (second IS NULL OR list_contains(names, second))),
+best AS (SELECT *, min(priority) OVER (PARTITION BY ask_id) AS b FROM hit)
+SELECT DISTINCT ask_id, row_id, priority FROM best WHERE priority = b"""
+)
+def author_year_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all rows of a year."""
+    library = read_table(spark, sf_dir, "references_library")
+    return lib.author_year_lookup(_author_year_asked(library), library, None)
 
 
 def _origin(c: str) -> str:

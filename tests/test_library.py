@@ -95,3 +95,13 @@ def test_key_functions_differ(spark):
 @pytest.mark.parametrize(("text", "kind"), [("32879322", "pmid"), ("PMC123456", "pmcid"), ("10.1000/x", "doi"), ("https://doi.org/10.1000/x", "doi"), ("https://x.org", "url"), ("Smith 2020", "text"), (None, "text")])
 def test_identifier_kind(spark, text, kind):
     assert spark.range(1).select(idn.identifier_kind(F.lit(text).cast("string")).alias("k")).first().k == kind
+
+
+def test_whole_author_year_lookup_sees_older_rows_of_a_year(spark, tmp_path):
+    from citeloom.plans import catalogue
+
+    schema = "row_id long, library_id string, year int, updated_at timestamp, authors array<struct<last_name:string>>"
+    rows = [(i, "lib-own", 2001, datetime(2024, 1, 1), [("Other",)]) for i in range(60)] + [(99, "lib-commons", 2001, datetime(2020, 1, 1), [("Smith",)])]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/references_library.parquet")
+    assert catalogue.QUERIES["author_year_lookup"](spark, str(tmp_path)).count() == 0
+    assert [tuple(r) for r in catalogue.QUERIES["author_year_lookup_whole"](spark, str(tmp_path)).collect()] == [(99, 99, 1)]
