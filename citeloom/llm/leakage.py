@@ -54,6 +54,12 @@ def words_of(text: str | None, known: dict[str, int] | None = None) -> list[str]
     return _WORD.findall(_INNER.sub("", low))
 
 
+def broken_words(text: str) -> list[str]:
+    """Both parts and the joined form of each word of ``text`` that is broken at a line end."""
+    found = _BROKEN.finditer(_MARKER.sub(" ", text.lower()))
+    return sorted({w for m in found for w in (m[1], m[2], m[1] + m[2])})
+
+
 def word_code(word: str) -> int:
     """A 63-bit code of a word, never 0."""
     return (xxhash.xxh64_intdigest(word) >> 1) | 1
@@ -206,22 +212,42 @@ def leaks(docs: DataFrame, items: DataFrame, edits: int = 0, window: int = WINDO
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
+def _known_parts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, known): the parts and joined forms of a document's broken words that are words of items."""
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(set(words_of(t))))
+
+    @F.pandas_udf("array<string>")
+    def broken(texts: pd.Series) -> pd.Series:
+        return texts.map(broken_words)
+
+    known = items.where("text is not null").select(F.explode(words("text")).alias("word")).distinct()
+    parts = docs.where(F.contains("text", F.lit("\n"))).select("id", F.explode(broken("text")).alias("word")).distinct()
+    return parts.join(known, "word").groupBy("id").agg(F.collect_set("word").alias("known"))
+
+
 def _joined(docs: DataFrame, items: DataFrame, cgk: Cgk) -> DataFrame:
     """Matches by a join on buckets, for item tables that are too large to send around."""
 
     def side(df: DataFrame, id_col: str, name: str) -> DataFrame:
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                words = [words_of(t) for t in pdf["text"]]
+                words = [words_of(t, None if k is None else dict.fromkeys(k, 1)) for t, k in zip(pdf["text"], pdf["known"])]
                 codes = np.array([word_code(w) for ws in words for w in ws], np.int64)
                 owner = np.repeat(np.arange(len(pdf)), [len(w) for w in words])
                 wins, own = windows_of(codes, owner, cgk.window, None)
-                buckets = cgk.buckets(wins)
                 ids = pdf["id"].to_numpy()[own]
+                # equal windows of one id are in equal buckets
+                first = np.unique(np.column_stack([ids, wins]), axis=0, return_index=True)[1] if len(wins) else []
+                wins, ids = wins[first], ids[first]
+                buckets = cgk.buckets(wins)
                 for t in range(cgk.tables):
-                    yield pd.DataFrame({"t": np.int32(t), "bucket": buckets[:, t], "id": ids, "w": list(wins)}).drop_duplicates(["bucket", "id"])
+                    yield pd.DataFrame({"t": np.int32(t), "bucket": buckets[:, t], "id": ids, "w": list(wins)})
 
         rows = df.select(F.col(id_col).cast("bigint").alias("id"), "text").where("text is not null")
+        rows = rows.join(_known_parts(rows, items), "id", "left") if name == "doc_id" else rows.withColumn("known", F.lit(None).cast("array<string>"))
         return rows.mapInPandas(cut, "t int, bucket bigint, id bigint, w array<bigint>").withColumnsRenamed({"id": name, "w": f"{name}_w"})
 
     @F.pandas_udf("int")

@@ -55,6 +55,20 @@ def test_both_paths_agree(spark):
         assert found(spark, docs, items, edits=edits) == found(spark, docs, items, edits=edits, map_side_words=0)
 
 
+def test_both_paths_agree_on_broken_words_and_near_copies(spark):
+    docs = [(1, words(20).replace("rust-red", "rust-\nred")), (2, words(20).replace("letters", "let-\nters").replace("rust-red", "rust-\nred"))]
+    for edits in (0, 1):
+        assert found(spark, docs, edits=edits, map_side_words=0) == {(1, 1): 0, (2, 1): 0}
+    # a near copy before the exact one agrees with it in every sampled symbol
+    cgk, exact = lk.Cgk(edits=0), ITEM.split()[:12]
+    item = [(1, " ".join(w.strip(",") for w in exact))]
+    plain = lk.words_of(item[0][1])
+    codes = lambda ws: np.array([[lk.word_code(w) for w in ws]], np.int64)
+    near = next(c for k in range(lk.WINDOW) if (cgk.buckets(codes(c := [*plain[:k], "zzz", *plain[k + 1 :]])) == cgk.buckets(codes(plain))).all())
+    doc = [(7, " ".join([*near, "between", *plain]))]
+    assert found(spark, doc, item) == found(spark, doc, item, map_side_words=0) == {(7, 1): 0}
+
+
 def test_recall_of_near_windows_against_brute_force():
     rng = np.random.default_rng(5)
     a = rng.integers(1, 2**40, (600, lk.WINDOW))
