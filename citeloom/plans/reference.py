@@ -15,7 +15,7 @@ from citeloom.operators import library as lib
 from citeloom.operators import markers as mk
 from citeloom.operators import numbering as nb
 from citeloom.operators import segmentation as seg
-from citeloom.session import read_table
+from citeloom.session import cut_lineage, read_table
 from citeloom.sources import docx, fulltext, records, stores
 
 QUERIES: dict = {}
@@ -682,6 +682,23 @@ def alphabetic_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.join(before, "part").select("doc_id", "ok", "sort_key", (F.col("before") + F.col("r")).alias("place"))
 
 
+@query(
+    """SELECT entry_id, doc_id, sort_key, row_number() OVER (PARTITION BY doc_id ORDER BY sort_key, raw_text, entry_id) AS place FROM (SELECT entry_id, doc_id, raw_text, substr(regexp_replace(lower(raw_text), '[^a-z0-9 ]', '', 'g'), 1, 80) AS sort_key FROM bib_entries WHERE raw_text IS NOT NULL)"""
+)
+def alphabetic_bibliography_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of each document with their place in its unnumbered bibliography: F6, H33.
+
+    A long bibliography may lie in several range partitions; its places count on from the entries before them."""
+    order = ["doc_id", "sort_key", "raw_text", "entry_id"]
+    keyed = read_table(spark, sf_dir, "bib_entries").where("raw_text is not null").select("entry_id", "doc_id", "raw_text", nb.alphabetic_key(F.col("raw_text")).alias("sort_key"))
+    ranged = cut_lineage(keyed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    inside = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part", "doc_id").orderBy(*order[1:])))
+    # one row per document and partition
+    sizes = ranged.groupBy("part", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", "doc_id", F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return inside.join(before, (inside["part"] == before["part"]) & inside["doc_id"].eqNullSafe(before["doc_id"])).select("entry_id", inside["doc_id"], "sort_key", (F.col("before") + F.col("r")).alias("place"))
+
+
 # ---------------------------------------------------------------- evidence
 
 _VERDICTS = """v AS (SELECT doc_id, CASE marker_id % 5 WHEN 0 THEN 'supports' WHEN 1 THEN 'partial' WHEN 2 THEN 'supports' WHEN 3 THEN 'not_supported' ELSE '' END AS raw, marker_id % 7 <> 0 AS found, marker_id % 3 <> 0 AS quoted, extra_search FROM markers WHERE doc_id % 2 = 0 OR marker_id % 5 <> 3),
