@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +35,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what finished rounds of an iterative job hold.
-
-    Spark removes shuffle files, broadcasts and checkpoints once the driver's handles on them are collected as
-    garbage, which otherwise happens whenever the heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
