@@ -5,11 +5,12 @@ to Hamming distance; repeated bit-sampling of the embedding gives candidate pair
 window, in as many tables as the target recall needs; an exact edit distance decides.
 
 Texts are compared disregarding case, punctuation, white space, words broken at line ends, and citation markers
-between words. A corpus window with more unknown words than edits are allowed can't match, so it is skipped before
-the embedding; this loses nothing.
+between words. Whether brackets with a year are a marker or part of the passage can't always be told; such a text is
+read both ways. A corpus window with more words that no item has than edits are allowed can't match, so it is skipped
+before the embedding; this loses nothing.
 
-Items are small and fixed in most uses. Up to ``map_side_words`` words they are sent to all tasks and the corpus is
-read once without any shuffle; beyond it windows are joined by their buckets.
+Items are small and fixed in most uses. While their index has at most ``map_side_bytes`` it is sent to all tasks once
+and the corpus is read without any shuffle; beyond it windows are joined by their buckets, with equal results.
 
 Null and empty texts, and texts shorter than a window, match nothing. Repeated rows give equal matches; ids repeated
 on different rows are taken as one document. Empty tables give no rows; extra columns are ignored.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,34 +31,57 @@ from pyspark.sql import functions as F
 
 WINDOW = 12
 SAMPLED = 8
-MAP_SIDE_WORDS = 2_000_000
+MAP_SIDE_BYTES = 64 << 20
+VOCABULARY_BYTES = 32 << 20
 
-_MARKER = re.compile(r"\[\d[\d,;\s–-]{0,200}\]|\((?:refs?|[^()]{0,300}?(?:pmid|pmc\d|doi|10\.\d{4}|\b(?:19|20)\d\d[a-z]?\b)[^()]{0,300})\)")
+_BRACKETS = re.compile(r"\[\d[\d,;\s–-]*\]|\(([^()]*)\)")
+_SURE = re.compile(r"refs?$|pmid|pmc\d|\bdoi\b|\b10\.\d{4}|\bet\s+al\b.*\b(?:19|20)\d\d[a-z]?\b", re.DOTALL)
+_YEAR = re.compile(r"\b(?:19|20)\d\d[a-z]?\b")
 _BROKEN = re.compile(r"([^\W_]+)[-‐‑­]\s*\n\s*([^\W_]+)")
 _INNER = re.compile(r"(?<=\w)['’­​](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None, known: dict[str, int] | None = None) -> list[str]:
-    """The words of ``text`` as they are compared. A word broken at a line end is joined, unless only its parts are known."""
+def readings(text: str | None) -> list[str]:
+    """``text`` in lower case without citation markers; a second time where brackets with a year may be markers or not.
+
+    Numbers in square brackets, identifiers, search tokens and author-year citations with "et al." are markers for
+    certain. Other brackets with a year are dropped in the first reading and kept in the second."""
     low = (text or "").lower()
-    if "(" in low or "[" in low:
-        low = _MARKER.sub(" ", low)
-    if "\n" in low:
+    if "(" not in low and "[" not in low:
+        return [low]
+    doubtful = False
+
+    def drop(m: re.Match, years: bool) -> str:
+        nonlocal doubtful
+        inner = m[1]
+        if inner is None or _SURE.search(inner):
+            return " "
+        if not _YEAR.search(inner):
+            return m[0]
+        doubtful = True
+        return " " if years else m[0]
+
+    first = _BRACKETS.sub(lambda m: drop(m, True), low)
+    return [first, _BRACKETS.sub(lambda m: drop(m, False), low)] if doubtful else [first]
+
+
+def words_of(reading: str, known: Container[str] | None = None) -> list[str]:
+    """The words of a reading as they are compared. A word broken at a line end is joined, unless only its parts are known."""
+    if "\n" in reading:
 
         def join(m: re.Match) -> str:
             a, b = m[1], m[2]
             apart = known is not None and a + b not in known and a in known and b in known
             return f"{a} {b}" if apart else a + b
 
-        low = _BROKEN.sub(join, low)
-    return _WORD.findall(_INNER.sub("", low))
+        reading = _BROKEN.sub(join, reading)
+    return _WORD.findall(_INNER.sub("", reading))
 
 
 def broken_words(text: str) -> list[str]:
     """Both parts and the joined form of each word of ``text`` that is broken at a line end."""
-    found = _BROKEN.finditer(_MARKER.sub(" ", text.lower()))
-    return sorted({w for m in found for w in (m[1], m[2], m[1] + m[2])})
+    return sorted({w for r in readings(text) for m in _BROKEN.finditer(r) for w in (m[1], m[2], m[1] + m[2])})
 
 
 def word_code(word: str) -> int:
@@ -81,7 +105,7 @@ class Cgk:
         self.tables = self.walks * self.per_walk
         rng = np.random.default_rng(seed)
         self.mul = rng.integers(1, 2**63, (self.walks, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, (self.walks, self.steps), dtype=np.uint64)
+        self.add = rng.integers(0, 2**64, (self.walks, self.steps), dtype=np.uint64)
         self.positions = [np.sort(rng.choice(self.steps, sampled, replace=False)) for _ in range(self.tables)]
         self.mix = rng.integers(1, 2**63, (self.tables, sampled), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -123,47 +147,59 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, w]
 
 
-def windows_of(codes: np.ndarray, owner: np.ndarray, window: int, unknown: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of consecutive codes of one owner: (windows, owners). With ``unknown`` set, at most so many codes are 0."""
-    n = len(codes) - window + 1
+def window_starts(owner: np.ndarray, window: int, foreign: np.ndarray | None, most: int) -> np.ndarray:
+    """Where windows of consecutive words of one owner begin, with at most ``most`` of the ``foreign`` words if those are given."""
+    n = len(owner) - window + 1
     if n <= 0:
-        return np.empty((0, window), np.int64), np.empty(0, owner.dtype)
+        return np.empty(0, np.int64)
     keep = owner[:n] == owner[window - 1 :]
-    if unknown is not None:
-        zeros = np.concatenate([[0], np.cumsum(codes == 0)])
-        keep &= zeros[window:] - zeros[:-window] <= unknown
-    at = np.flatnonzero(keep)
-    return codes[at[:, None] + np.arange(window)], owner[at]
+    if foreign is not None:
+        upto = np.concatenate([[0], np.cumsum(foreign)])
+        keep &= upto[window:] - upto[:-window] <= most
+    return np.flatnonzero(keep)
+
+
+def owners(words: list[list[str]]) -> np.ndarray:
+    return np.repeat(np.arange(len(words)), [len(ws) for ws in words]) if words else np.empty(0, np.int64)
 
 
 class ItemIndex:
     """The windows of all items, sorted by bucket in each table."""
 
     def __init__(self, items: list[tuple[int, str | None]], cgk: Cgk):
-        texts = [(i, words_of(t)) for i, t in items]
-        self.codes = {w: word_code(w) for _, ws in texts for w in ws}
-        flat = np.array([self.codes[w] for _, ws in texts for w in ws], np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(ws) for _, ws in texts]) if texts else np.empty(0, np.int64)
-        ids = np.array([i for i, _ in texts], np.int64)
+        read = [(i, words_of(r)) for i, t in items for r in readings(t)]
+        self.codes = {w: word_code(w) for _, ws in read for w in ws}
+        flat = np.array([self.codes[w] for _, ws in read for w in ws], np.int64)
+        owner = owners([ws for _, ws in read])
         self.cgk = cgk
-        self.windows, own = windows_of(flat, owner, cgk.window, None)
-        self.item = ids[own] if len(own) else np.empty(0, np.int64)
+        starts = window_starts(owner, cgk.window, None, 0)
+        self.windows = flat[starts[:, None] + np.arange(cgk.window)]
+        self.item = np.array([i for i, _ in read], np.int64)[owner[starts]]
         buckets = cgk.buckets(self.windows)
-        self.order = [np.argsort(buckets[:, t], kind="stable") for t in range(cgk.tables)]
+        self.order = [np.argsort(buckets[:, t], kind="stable").astype(np.int32) for t in range(cgk.tables)]
         self.sorted = [buckets[o, t] for t, o in enumerate(self.order)]
 
+    @staticmethod
+    def size(words: int, cgk: Cgk) -> int:
+        """Bytes of an index over so many words: each window with its item, and place and bucket in each table; words with codes."""
+        return words * (8 * cgk.window + 8 + 12 * cgk.tables + 100)
+
     def matches(self, docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
         """(doc, item, least edits) for a batch of documents."""
-        codes, owner = [], []
-        for k, (_, text) in enumerate(docs):
-            got = [self.codes.get(w, 0) for w in words_of(text, self.codes)]
-            codes.append(np.array(got, np.int64))
-            owner.append(np.full(len(got), k))
-        if not codes or not len(self.windows):
+        if not len(self.windows):
             return []
-        wins, own = windows_of(np.concatenate(codes), np.concatenate(owner), self.cgk.window, self.cgk.edits)
-        if not len(wins):
+        read = [(d, words_of(r, self.codes)) for d, t in docs for r in readings(t)]
+        words = [w for _, ws in read for w in ws]
+        codes = np.array([self.codes.get(w, 0) for w in words], np.int64)
+        owner, window = owners([ws for _, ws in read]), self.cgk.window
+        starts = window_starts(owner, window, codes == 0, self.cgk.edits)
+        if not len(starts):
             return []
+        at = starts[:, None] + np.arange(window)
+        # words that no item has get their own codes, where they are looked at
+        for k in np.unique(at[codes[at] == 0]):
+            codes[k] = word_code(words[k])
+        wins, own = codes[at], owner[starts]
         buckets = self.cgk.buckets(wins)
         pairs = []
         for t in range(self.cgk.tables):
@@ -181,22 +217,23 @@ class ItemIndex:
         ok = edits <= self.cgk.edits
         best: dict[tuple[int, int], int] = {}
         for d, i, e in zip(own[left[ok]], self.item[right[ok]], edits[ok]):
-            key = (int(d), int(i))
+            key = (read[d][0], int(i))
             best[key] = min(int(e), best.get(key, 99))
-        return [(docs[d][0], i, e) for (d, i), e in best.items()]
+        return [(d, i, e) for (d, i), e in best.items()]
 
 
 _MATCH = "doc_id bigint, item_id bigint, edits int"
 
 
-def leaks(docs: DataFrame, items: DataFrame, edits: int = 0, window: int = WINDOW, recall: float = 0.95, map_side_words: int = MAP_SIDE_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, edits: int = 0, window: int = WINDOW, recall: float = 0.95, map_side_bytes: int = MAP_SIDE_BYTES) -> DataFrame:
     """(doc_id, item_id, edits): documents with a window of the item within ``edits``, with the least number found.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Windows without edits are always found; others with
     the probability ``recall``, which tests measure against brute force."""
     cgk = Cgk(window, edits, recall)
     size = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
-    if size <= map_side_words:
+    # two readings at most
+    if ItemIndex.size(2 * size, cgk) <= map_side_bytes:
         index = ItemIndex([(r.item_id, r.text) for r in items.select(F.col("item_id").cast("bigint"), "text").collect()], cgk)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,24 +243,43 @@ def leaks(docs: DataFrame, items: DataFrame, edits: int = 0, window: int = WINDO
                     got = index.matches(list(zip(ids[at : at + 512].to_pylist(), texts[at : at + 512].to_pylist())))
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["doc_id", "item_id", "edits"]).astype({"doc_id": "int64", "item_id": "int64", "edits": "int32"}), preserve_index=False)
 
-        found = docs.select(F.col("doc_id").cast("bigint"), "text").where("text is not null").mapInArrow(scan, _MATCH)
+        found = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null").mapInArrow(scan, _MATCH)
     else:
         found = _joined(docs, items, cgk)
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
-def _known_parts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, known): the parts and joined forms of a document's broken words that are words of items."""
+def _vocabulary(items: DataFrame) -> DataFrame:
+    """(word): the distinct words of the items."""
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(set(words_of(t))))
+        return texts.map(lambda t: sorted({w for r in readings(t) for w in words_of(r)}))
+
+    return items.where("text is not null").select(F.explode(words("text")).alias("word")).distinct()
+
+
+def item_codes(items: DataFrame) -> np.ndarray | None:
+    """The sorted codes of all words of the items, or None where they have more than ``VOCABULARY_BYTES``; then no window is skipped early."""
+
+    @F.pandas_udf("bigint")
+    def coded(words: pd.Series) -> pd.Series:
+        return words.map(word_code)
+
+    codes = _vocabulary(items).select(coded("word").alias("code"))
+    if codes.count() * 8 > VOCABULARY_BYTES:
+        return None
+    return np.sort(np.array([r.code for r in codes.toLocalIterator()], np.int64))
+
+
+def _known_parts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, known): the parts and joined forms of a document's broken words that are words of items."""
 
     @F.pandas_udf("array<string>")
     def broken(texts: pd.Series) -> pd.Series:
         return texts.map(broken_words)
 
-    known = items.where("text is not null").select(F.explode(words("text")).alias("word")).distinct()
+    known = _vocabulary(items)
     parts = docs.where(F.contains("text", F.lit("\n"))).select("id", F.explode(broken("text")).alias("word")).distinct()
     return parts.join(known, "word").groupBy("id").agg(F.collect_set("word").alias("known"))
 
@@ -231,30 +287,36 @@ def _known_parts(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame, items: DataFrame, cgk: Cgk) -> DataFrame:
     """Matches by a join on buckets, for item tables that are too large to send around."""
 
-    def side(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    vocabulary = item_codes(items)
+
+    def side(df: DataFrame, id_col: str) -> DataFrame:
+        skip = vocabulary is not None and id_col == "doc_id"
+
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                words = [words_of(t, None if k is None else dict.fromkeys(k, 1)) for t, k in zip(pdf["text"], pdf["known"])]
-                codes = np.array([word_code(w) for ws in words for w in ws], np.int64)
-                owner = np.repeat(np.arange(len(pdf)), [len(w) for w in words])
-                wins, own = windows_of(codes, owner, cgk.window, None)
-                ids = pdf["id"].to_numpy()[own]
+                read = [(i, words_of(r, None if k is None else frozenset(k))) for i, t, k in zip(pdf["id"], pdf["text"], pdf["known"]) for r in readings(t)]
+                codes = np.array([word_code(w) for _, ws in read for w in ws], np.int64)
+                owner = owners([ws for _, ws in read])
+                starts = window_starts(owner, cgk.window, ~np.isin(codes, vocabulary) if skip else None, cgk.edits)
+                if not len(starts):
+                    continue
+                wins, ids = codes[starts[:, None] + np.arange(cgk.window)], np.array([i for i, _ in read], np.int64)[owner[starts]]
                 # equal windows of one id are in equal buckets
-                first = np.unique(np.column_stack([ids, wins]), axis=0, return_index=True)[1] if len(wins) else []
+                first = np.unique(np.column_stack([ids, wins]), axis=0, return_index=True)[1]
                 wins, ids = wins[first], ids[first]
                 buckets = cgk.buckets(wins)
                 for t in range(cgk.tables):
                     yield pd.DataFrame({"t": np.int32(t), "bucket": buckets[:, t], "id": ids, "w": list(wins)})
 
-        rows = df.select(F.col(id_col).cast("bigint").alias("id"), "text").where("text is not null")
-        rows = rows.join(_known_parts(rows, items), "id", "left") if name == "doc_id" else rows.withColumn("known", F.lit(None).cast("array<string>"))
-        return rows.mapInPandas(cut, "t int, bucket bigint, id bigint, w array<bigint>").withColumnsRenamed({"id": name, "w": f"{name}_w"})
+        rows = df.select(F.col(id_col).cast("bigint").alias("id"), "text").where("id is not null and text is not null")
+        rows = rows.join(_known_parts(rows, items), "id", "left") if id_col == "doc_id" else rows.withColumn("known", F.lit(None).cast("array<string>"))
+        return rows.mapInPandas(cut, "t int, bucket bigint, id bigint, w array<bigint>").withColumnsRenamed({"id": id_col, "w": f"{id_col}_w"})
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(edit_distances(np.stack(a), np.stack(b)) if len(a) else [], dtype="int32")
 
-    pairs = side(docs, "doc_id", "doc_id").join(side(items, "item_id", "item_id"), ["t", "bucket"]).dropDuplicates(["doc_id", "item_id", "doc_id_w", "item_id_w"])
+    pairs = side(docs, "doc_id").join(side(items, "item_id"), ["t", "bucket"]).dropDuplicates(["doc_id", "item_id", "doc_id_w", "item_id_w"])
     same = F.col("doc_id_w") == F.col("item_id_w")
     exact = pairs.where(same).select("doc_id", "item_id", F.lit(0).alias("edits"))
     if not cgk.edits:
