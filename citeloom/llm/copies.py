@@ -2,9 +2,10 @@
 
 Rows are reduced to a canonical record, range-partitioned and sorted by (canonical record, row id), and adjacent
 rows with equal full keys form a run. Since the row id is part of the range, a hot group of any size is spread over
-many partitions; runs that cross a partition's edge are stitched with two rows per partition.
+many partitions; runs that cross a partition's edge are stitched with two rows per partition. Neither that nor the
+counts depend on exchanges being reused.
 
-Nulls and blanks in a key field are equal to each other and to nothing else; a row without an id is left out; an
+Nulls and blanks in a key field are equal to each other and to nothing else; a row without an id or key is left out; an
 empty table gives no rows. Repeated ids form one row each. Extra columns are ignored.
 """
 
@@ -15,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import shuffle_parts
+from citeloom.session import cut_lineage, shuffle_parts
 
 _NOT_ALNUM = r"[^\p{L}\p{N}]+"
-_RUNS = "first_id bigint, id bigint, edge_key string"
 
 
 def letters_and_digits(text: Column) -> Column:
@@ -49,54 +50,98 @@ def reference_key(doi: Column, title: Column, pmid: Column) -> Column:
     return F.concat_ws("|", own, letters_and_digits(title))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.RecordBatch]:
-    """Runs of equal keys in sorted batches: each row with the first id of its run within the partition.
+class _Runs:
+    """Cuts sorted batches of one partition into runs of equal keys, across the batches."""
 
-    Rows of the partition's first run also carry their key. With ``heads`` only the first row of the first and of
-    the last run are given, both with their key."""
-    key, first, runs = None, None, 0
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    def __init__(self) -> None:
+        self.number, self.first, self.key = 0, 0, None
+
+    def cut(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of each row's run from 1, first id of each row's run)."""
         keys, ids = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
         new = np.ones(b.num_rows, dtype=bool)
-        if b.num_rows > 1:
-            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
-        new[0] = runs == 0 or keys[0].as_py() != key
+        new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = not self.number or keys[0].as_py() != self.key
         starts = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))
-        firsts = np.where(starts < 0, first if first is not None else 0, ids[np.maximum(starts, 0)])
-        number = runs + np.cumsum(new)  # the first run is 1
-        if heads:
-            if runs == 0:
-                yield _rows([ids[0]], [ids[0]], [keys[0].as_py()])
-            last = (int(firsts[-1]), keys[-1].as_py())
-        else:
-            yield _rows(firsts, ids, [k if n == 1 else None for k, n in zip(keys.to_pylist(), number)] if number[0] == 1 else [None] * b.num_rows)
-        key, first, runs = keys[-1].as_py(), int(firsts[-1]), int(number[-1])
-    if heads and last and runs > 1:
-        yield _rows([last[0]], [last[0]], [last[1]])
+        firsts = np.where(starts < 0, self.first, ids[np.maximum(starts, 0)])
+        number = self.number + np.cumsum(new)
+        self.number, self.first, self.key = int(number[-1]), int(firsts[-1]), keys[-1].as_py()
+        return ids, number, firsts
+
+
+def _rows(*columns: object) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["first_id", "n", "part", "edge_key"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's id (n) with the first id of its run; rows of the partition's first run also carry the partition's number.
+
+    Two further rows without n hold the keys of the partition's first and last run with their first ids."""
+    part, runs, head = TaskContext.get().partitionId(), _Runs(), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if head is None:
+            head = b.column(0)[0].as_py()
+            yield _rows([b.column(1)[0].as_py()], [None], [part], [head])
+        ids, number, firsts = runs.cut(b)
+        open_run = number == 1
+        yield _rows(firsts, ids, pa.array(np.full(len(ids), part, np.int32), mask=~open_run), pa.nulls(len(ids), pa.string()))
+    if runs.number > 1:
+        yield _rows([runs.first], [None], [None], [runs.key])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per run with its number of rows (n); the partition's first and last run also carry their key."""
+    runs, held = _Runs(), None  # the run that may go on: first id, rows, key
+    for b in batches:
+        if not b.num_rows:
+            continue
+        _, number, firsts = runs.cut(b)
+        numbers, at, n = np.unique(number, return_index=True, return_counts=True)
+        if held and held[0] == numbers[0]:
+            n[0] += held[2]
+        elif held:
+            yield _rows([held[1]], [held[2]], [None], [held[3] if held[0] == 1 else None])
+        first_key = b.column(0)[0].as_py()
+        done = len(numbers) - 1
+        if done:
+            yield _rows(firsts[at[:done]], n[:done], [None] * done, [first_key if k == 1 else None for k in numbers[:done].tolist()])
+        held = (int(numbers[-1]), int(firsts[at[-1]]), int(n[-1]), runs.key)
+    if held:
+        yield _rows([held[1]], [held[2]], [None], [held[3]])
+
 
+_RUNS = "first_id bigint, n bigint, part int, edge_key string"
 
-def _rows(first: object, ids: object, edge: list[str | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(ids, pa.int64()), pa.array(edge, pa.string())], names=["first_id", "id", "edge_key"])
+
+def _ranged(keyed: DataFrame) -> DataFrame:
+    rows = keyed.select("key", F.col("id").cast("bigint").alias("id")).where("id is not null and key is not null")
+    return rows.repartitionByRange(shuffle_parts(keyed.sparkSession), "key", "id").sortWithinPartitions("key", "id")
 
 
 def group_copies(keyed: DataFrame) -> DataFrame:
     """From (id, key) rows to (first_id, id): the smallest id among the rows with an equal key, for every row.
 
-    Full keys are compared, never hashes. Nothing but two rows per partition is broadcast."""
-    rows = keyed.select("key", F.col("id").cast("bigint").alias("id")).where("id is not null")
-    ranged = rows.repartitionByRange(shuffle_parts(keyed.sparkSession), "key", "id").sortWithinPartitions("key", "id")
-    runs = ranged.mapInArrow(lambda it: _scan(it, False), _RUNS)
-    edges = ranged.mapInArrow(lambda it: _scan(it, True), _RUNS).groupBy("edge_key").agg(F.min("first_id").alias("edge_first"))
-    stitched = runs.join(F.broadcast(edges), "edge_key", "left")
-    return stitched.select(F.coalesce("edge_first", "first_id").alias("first_id"), "id")
+    Full keys are compared, never hashes. The partitions are scanned once and the scan is kept, as a second one could
+    draw other ranges. What is broadcast is one number per partition."""
+    scanned = cut_lineage(_ranged(keyed).mapInArrow(_scan, _RUNS))
+    edges = scanned.where("n is null")
+    least = edges.groupBy("edge_key").agg(F.min("first_id").alias("edge_first"))
+    stitch = edges.where("part is not null").join(least, "edge_key").select("part", "edge_first")
+    stitched = scanned.where("n is not null").join(F.broadcast(stitch), "part", "left")
+    return stitched.select(F.coalesce("edge_first", "first_id").alias("first_id"), F.col("n").alias("id"))
 
 
 def collapse(keyed: DataFrame) -> DataFrame:
-    """One row per canonical record: (first_id, copies), copies being the exact number of its rows."""
-    return group_copies(keyed).groupBy("first_id").agg(F.count(F.lit(1)).alias("copies"))
+    """One row per canonical record: (first_id, copies), copies being the exact number of its rows.
+
+    Runs are counted in the scan; only runs at the edges of partitions meet once more."""
+    counted = cut_lineage(_ranged(keyed).mapInArrow(_count, _RUNS))
+    inner = counted.where("edge_key is null").select("first_id", F.col("n").alias("copies"))
+    edges = counted.where("edge_key is not null").groupBy("edge_key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("copies"))
+    return inner.unionByName(edges.select("first_id", "copies"))
 
 
 def library_groups(library: DataFrame) -> DataFrame:

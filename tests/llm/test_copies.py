@@ -29,20 +29,27 @@ def test_written_forms_of_one_record(spark):
     assert key(spark, None, None, None) == key(spark, " ", "", "?")
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
-def test_groups_against_brute_force(spark, parts):
+@pytest.mark.parametrize(("parts", "reuse"), [(1, True), (3, True), (7, False)])
+def test_groups_against_brute_force(spark, parts, reuse):
     rng = random.Random(parts)
     rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(40)}") for i in range(300)]
     rng.shuffle(rows)
     spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
     try:
-        got = {r.id: r.first_id for r in copies.group_copies(spark.createDataFrame(rows, "id long, key string")).collect()}
+        df = spark.createDataFrame(rows, "id long, key string")
+        got = {r.id: r.first_id for r in copies.group_copies(df).collect()}
+        counts = {r.first_id: r.copies for r in copies.collapse(df).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.exchange.reuse")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     least = {}
     for i, k in rows:
         least[k] = min(i, least.get(k, i))
     assert got == {i: least[k] for i, k in rows}
+    assert counts == {least[k]: sum(x == k for _, x in rows) for k in least}
 
 
 def test_counts_and_odd_rows(spark):
@@ -52,7 +59,7 @@ def test_counts_and_odd_rows(spark):
 
 
 def test_hot_group_is_spread(spark):
-    plan = copies.group_copies(spark.createDataFrame([(1, "a")], "id long, key string"))._jdf.queryExecution().toString()
+    plan = copies._ranged(spark.createDataFrame([(1, "a")], "id long, key string"))._jdf.queryExecution().toString()
     assert "rangepartitioning(key" in plan and "id" in plan.split("rangepartitioning(key")[1][:40]
 
 
