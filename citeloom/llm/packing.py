@@ -29,15 +29,18 @@ GROUP = 8
 _ENCODERS: dict[str, object] = {}
 
 
+#: How texts are cut before byte pairs are merged, as published with byte-level byte-pair encoding.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def encoder(path: str) -> object:
     """The byte-pair encoder of a ranks file, built once per process."""
     if path not in _ENCODERS:
-        import public_tokenizers
         import tiktoken
 
         lines = open(path, "rb").read().splitlines()
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line)}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 

@@ -9,6 +9,11 @@ from citeloom.llm import copies, leakage, linkage, names, packing, pii, sentence
 from citeloom.session import cut_lineage, read_table
 
 
+def _given_names(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """Widespread given names and those that the literature databases spell out."""
+    return pii.learned_names(read_table(spark, sf_dir, "candidates").select(F.explode("authors.first_name").alias("v")))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of rows that name the same person or the same organisation."""
     return names.same_entity_pairs(p1_entities(spark, sf_dir))
@@ -16,7 +21,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity of every row."""
-    return names.resolve(read_table(spark, sf_dir, "author_names"), frozenset(pii.GIVEN_NAMES))
+    rows = read_table(spark, sf_dir, "author_names")
+    return names.resolve(rows, frozenset(_given_names(spark, sf_dir)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +59,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_rows(read_table(spark, sf_dir, "sentences"), "block_id", F.col("raw_text"))
 
 
-#: Ranks file of the public tokenizer whose tokens measure the documents.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Setting that names the ranks file of the public tokenizer whose tokens measure the documents, and where it is by default.
+TOKENIZER = ("spark.citeloom.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, in tokens of a public tokenizer."""
-    counts = cut_lineage(packing.token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER))
+    counts = cut_lineage(packing.token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text", spark.conf.get(*TOKENIZER)))
     return packing.containers(counts)
 
 
@@ -76,12 +82,12 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of personal data in all documents."""
-    return pii.found_places(read_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return pii.found_places(read_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _given_names(spark, sf_dir))
 
 
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with typed placeholders in place of personal data."""
-    return read_table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text"), _given_names(spark, sf_dir)).alias("text"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}

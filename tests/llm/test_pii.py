@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from citeloom.llm import pii
 
 
-def kinds(text):
-    return [(text[b:e], k) for b, e, k in pii.find(text)]
+GIVEN = (*pii.GIVEN_NAMES, "jonas", "milo", "wanda")
+
+
+def kinds(text, given=GIVEN):
+    return [(text[b:e], k) for b, e, k in pii.find(text, given)]
 
 
 @pytest.mark.parametrize(
@@ -42,6 +45,11 @@ def kinds(text):
         ("The Jonas Berg Institute and the Berg-Lee test, Berg et al. 2020, Jonas alone", []),
         ("联系人：尉迟砚秋，电话", [("尉迟砚秋", "person")]),
         ("The spines of lines and Milo", []),
+        ("code 555-0199 part, version 555-0199", []),
+        ("Ring 555-0199", [("555-0199", "phone")]),
+        ("His passport no. is 523 886 914, her NHS number: 943 476 5919, SSN 000131568", [("523 886 914", "id_number"), ("943 476 5919", "id_number"), ("000131568", "id_number")]),
+        ("See mailto:jane.doe@uni.example or sip:jane@uni.example or tel:+1-415-555-0132", [("jane.doe@uni.example", "email"), ("jane@uni.example", "email"), ("+1-415-555-0132", "phone")]),
+        ("A passport number is needed, the social security of all, PMID 12345678", []),
         (None, []),
         ("", []),
     ],
@@ -50,6 +58,35 @@ def test_finds(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize("name", ["Priya Raghunathan", "Ahmed Khan", "Mei-Ling Chen", "Khan, Ahmed", "FATIMA EL-AMRANI", "Kwame N. Boateng"])
+def test_names_outside_the_data(name):
+    assert kinds(f"We thank {name} for help.", tuple(pii.GIVEN_NAMES)) == [(name, "person")]
+
+
+@pytest.mark.parametrize("name", ["Xiulan Zhao", "Torvik Gunderhaug", "Gunderhaug, Torvik", "Ngozi A. Eze"])
+@pytest.mark.parametrize("cue", ["Dr. {}", "for the attention {} of unit 3", "One participant, {}, left", "Contact: {}"])
+def test_unlisted_names_behind_cues(cue, name):
+    assert kinds(cue.format(name)) == [(name, "person")]
+
+
+def test_cues_without_a_full_name():
+    assert kinds("Dr. Smith left. Contact: The Institute. Prof. Berg Institute. Mr. Power was. Attention deficit disorder. Pay attention Now.") == []
+
+
+def test_learned_names(spark):
+    rows = spark.createDataFrame([("Torvik",), (" torvik ",), ("J.",), (None,), ("",), ("Anna Lena",)], "v string")
+    assert set(pii.learned_names(rows)) == {*pii.GIVEN_NAMES, "torvik"}
+    df = spark.createDataFrame([(1, "We thank Torvik Gunderhaug for help")], "id long, t string")
+    assert pii.found_places(df, "id", F.col("t")).count() == 0
+    assert pii.found_places(df, "id", F.col("t"), pii.learned_names(rows)).count() == 1
+    with pytest.raises(ValueError, match="bytes"):
+        pii.learned_names(rows, most_bytes=2)
+
+
+def test_many_finds_in_one_text():
+    assert len(kinds("Ring 555-0144. " * 30_000)) == 30_000
+
+
 def test_name_and_mail_do_not_overlap():
     assert kinds("Jonas Berg (jonas.berg@uni.example)") == [("Jonas Berg", "person"), ("jonas.berg@uni.example", "email")]
 
@@ -68,8 +105,8 @@ def test_spans_are_ordered_and_apart(text):
 
 
 def test_redaction_keeps_the_rest(spark):
-    df = spark.createDataFrame([(1, "Ask Jonas Berg, 555-0144."), (2, None), (3, "nothing")], "id long, t string")
-    assert [r.t for r in df.select(pii.redacted(F.col("t")).alias("t")).collect()] == ["Ask [PERSON], [PHONE].", None, "nothing"]
+    df = spark.createDataFrame([(1, "Ask Maria Berg, tel. 555-0144."), (2, None), (3, "nothing")], "id long, t string")
+    assert [r.t for r in df.select(pii.redacted(F.col("t")).alias("t")).collect()] == ["Ask [PERSON], tel. [PHONE].", None, "nothing"]
     assert pii.found_places(df, "id", F.col("t")).count() == 2
     assert pii.found_places(df.where("false"), "id", F.col("t")).count() == 0
 
