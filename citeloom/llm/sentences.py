@@ -38,7 +38,10 @@ PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】",
 _CLOSERS = set("".join(PAIRS.values()))
 _WIDE = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 _THAI = re.compile(r"[฀-๿]")
-_MARKER = re.compile(r"\s*(?:\((?:REFS?|[^()\n]{0,120}?(?:PMID|pmid|PMC\d|doi|10\.\d{4}|(?:19|20)\d\d[a-z]?)[^()\n]{0,120})\)|\[\d[\d,;\s–-]{0,60}\])")
+_BRACKETED = re.compile(r"\s*(?:\(([^()\n]*)\)|\[\d[\d,;\s–-]*\])")
+_CITES = re.compile(r"^REFS?$|PMID|pmid|PMC\d|doi|10\.\d{4}|(?:19|20)\d\d[a-z]?")
+#: The label of a list item at the beginning of a line: a number, letter or Roman numeral with its mark, or a bullet.
+_ITEM = re.compile(r"[ \t]*(?:(?P<label>\d{1,3}|[a-zA-Z]|[ivxIVX]{2,6})(?P<mark>[.)])|\((?P<inner>\d{1,3}|[a-z]|[ivx]{2,6})\)|(?P<bullet>[-–—•‣◦*]))[ \t]+(?=\S)")
 _LIST_LABEL = re.compile(r"\d{1,3}(?:\.\d{1,2})*|[a-zA-Z]|[ivxIVX]{1,4}")
 #: A single capital, or letters with full stops or hyphens between them.
 _INITIALS = re.compile(r"[A-ZÀ-ÞА-ЯĀ-Ž]|(?:[^\W\d_][.\-]){1,4}[^\W\d_]")
@@ -104,6 +107,49 @@ def closing_marks(text: str) -> dict[int, int]:
     return out
 
 
+def _marker_end(text: str, at: int) -> int | None:
+    """Where the citation marker ends that stands at ``at``, behind blanks; None where there is none."""
+    m = _BRACKETED.match(text, at)
+    return m.end() if m and (m[1] is None or _CITES.search(m[1])) else None
+
+
+_ROMAN = {"i": 1, "v": 5, "x": 10}
+
+
+def _label_values(label: str) -> list[tuple[str, int]]:
+    """What a list label can mean: its kind of numbering and its place in it."""
+    if label.isdigit():
+        return [("number", int(label))]
+    case, low = ("upper" if label.isupper() else "lower"), label.lower()
+    out = [(f"letter {case}", ord(low) - 96)] if len(low) == 1 and low.isascii() else []
+    if set(low) <= set(_ROMAN):
+        v = [_ROMAN[c] for c in low]
+        out.append((f"roman {case}", sum(-x if x < max(v[k:]) else x for k, x in enumerate(v))))
+    return out
+
+
+def list_item(m: re.Match, levels: list[tuple[str, int]]) -> bool:
+    """Whether a label begins an item; ``levels`` is the stack of open lists, innermost last, and follows.
+
+    A label goes on with an open list if it is the next of it, which closes the lists within, or opens a list if it
+    is the first of a numbering or a bullet. Any other number at the beginning of a line is ordinary text."""
+    if m["bullet"]:
+        meanings, mark = [("bullet " + m["bullet"], 0)], ""
+    else:
+        meanings, mark = _label_values(m["label"] or m["inner"]), m["mark"] or "()"
+    for depth in range(len(levels) - 1, -1, -1):
+        for kind, value in meanings:
+            if levels[depth][0] == kind + mark and (value == levels[depth][1] + 1 or m["bullet"]):
+                del levels[depth + 1 :]
+                levels[depth] = (kind + mark, value)
+                return True
+    for kind, value in meanings:
+        if value == 1 or m["bullet"]:
+            levels.append((kind + mark, value))
+            return True
+    return False
+
+
 def _starts_sentence(text: str, at: int) -> bool:
     """Whether what stands at ``at`` can begin a sentence: an upper-case letter, a digit, an opening mark or a letter without case."""
     n = len(text)
@@ -129,12 +175,13 @@ def boundaries(text: str | None) -> list[int]:
     ends: list[int] = []
     n, i, start = len(text), 0, 0
     stack: list[int] = []  # offsets of the closing marks to come, innermost last
+    levels: list[tuple[str, int]] = []  # kind and place of the open lists
 
     def emit(end: int) -> int:
         """End the sentence at ``end``, or behind the citation markers that follow it."""
         nonlocal start
-        while (m := _MARKER.match(text, end)) and not _continues(text, m.end()):
-            end = m.end()
+        while (stop := _marker_end(text, end)) and not _continues(text, stop):
+            end = stop
             while end < n and text[end] in ".。":
                 end += 1
         if text[start:end].strip():
@@ -143,6 +190,12 @@ def boundaries(text: str | None) -> list[int]:
         return end
 
     while i < n:
+        if not stack and (not i or text[i - 1] in "\r\n") and (item := _ITEM.match(text, i)) and list_item(item, levels):
+            # an item is a unit of its own, and the full stop of its label ends nothing
+            if text[start:i].strip():
+                ends.append(start + len(text[start:i].rstrip()))
+            start, i = i, item.end()
+            continue
         if stack and i == stack[-1]:
             stack.pop()
             i += 1
@@ -161,7 +214,7 @@ def boundaries(text: str | None) -> list[int]:
             nxt = i
             while nxt < n and text[nxt].isspace():
                 nxt += 1
-            if nxt < n and not _MARKER.match(text, nxt) and _THAI.match(text[nxt]) and _thai_before(text, i):
+            if nxt < n and not _marker_end(text, nxt) and _THAI.match(text[nxt]) and _thai_before(text, i):
                 i = emit(i)
                 i = max(i, nxt)
                 continue
@@ -206,7 +259,7 @@ def _quoted_whole(text: str, start: int, end: int) -> bool:
     rest = text[end:]
     if body[0] in "「『" or not rest.strip():
         return False
-    return rest[0].isspace() and rest.lstrip()[0].isupper() and not _MARKER.match(text, end)
+    return rest[0].isspace() and rest.lstrip()[0].isupper() and not _marker_end(text, end)
 
 
 def _ends(text: str, low: str, start: int, i: int, stop: int, close: int, run: str) -> bool:

@@ -75,3 +75,29 @@ def test_ends_are_ordered_and_cover_the_text(text):
 def test_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 9), (2, None, 9), (3, "x", 9)], "id long, t string, sent_no int")
     assert [tuple(r) for r in sn.sentence_rows(df, "id", F.col("t")).orderBy("id", "sent_no").collect()] == [(1, 1, 4), (1, 2, 9), (3, 1, 1)]
+
+
+def cut(text):
+    out, at = [], 0
+    for end in sn.boundaries(text):
+        out.append(text[at:end].strip())
+        at = end
+    return out
+
+
+def test_list_items_are_units():
+    assert cut("1. First item is here\n2. Second item is here") == ["1. First item is here", "2. Second item is here"]
+    nested = ["Three steps:", "1. Wash. ", "a) with water", "b) with salt, e.g. brine.", "2. Dry", "- in air", "- in a box", "3. Weigh"]
+    assert cut("\n".join(nested)) == ["Three steps:", "1. Wash.", *nested[2:]]
+    assert cut("i. one\nii. two\niii. three") == ["i. one", "ii. two", "iii. three"]
+
+
+def test_numbers_at_the_beginning_of_a_line_are_no_items():
+    text = "We tested mice aged\n12. The rest were\nolder."
+    assert cut(text) == ["We tested mice aged\n12.", "The rest were\nolder."]
+    assert cut("It holds for n =\n3 and more.") == ["It holds for n =\n3 and more."]
+
+
+def test_long_markers_belong_to_their_sentence():
+    marker = "(" + "; ".join(f"Smith {1990 + i}" for i in range(30)) + ")"
+    assert cut(f"It rose. {marker} It fell.") == [f"It rose. {marker}", "It fell."]
