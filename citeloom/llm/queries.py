@@ -31,6 +31,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.library_survivors(library, copies.library_groups(library), read_table(spark, sf_dir, "source_trust"))
 
 
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p2_found, with rows that vote by the trust in their origin instead of the best one deciding alone."""
+    library = read_table(spark, sf_dir, "references_library")
+    return survivor.library_survivors(library, copies.library_groups(library), read_table(spark, sf_dir, "source_trust"), survivor.vote_weights)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every further copy of a reference with the smallest row id of its group."""
     groups = copies.library_groups(read_table(spark, sf_dir, "references_library"))
@@ -90,7 +96,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text"), _given_names(spark, sf_dir)).alias("text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_consensus": p2_consensus, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '^[^\\p{{L}}\\p{{N}}]+', ''), '^https?://[^/]*/', ''), '^(?:doi|pmid)[^\\p{{L}}\\p{{N}}]*', '')"
 _KEYED = f"""

@@ -87,15 +87,25 @@ def test_origins(spark):
 
 def test_consensus_votes_per_column():
     values = [v.split() for v in ("the gut of old mice", "the gut of young mice", "a gut of old mice", "the gut of old rats")]
-    assert survivor.consensus(values, survivor.even_weights(4)) == "the gut of old mice".split()
-    assert survivor.survivor(["a b x", "a b c d", "a b c"], survivor.even_weights) == 2
-    assert survivor.survivor(["a b x", "a b c d", "a b c"], survivor.trust_weights) == 0
+    assert survivor.consensus(values, [1.0] * 4) == "the gut of old mice".split()
+    three = ["a b x", "a b c d", "a b c"]
+    assert survivor.survivor(three, [1.0] * 3, survivor.vote_weights) == 2
+    assert survivor.survivor(three, [9.0, 1.0, 1.0], survivor.vote_weights) == 0
+    assert survivor.survivor(three, [1.0] * 3, survivor.trust_weights) == 0
+
+
+def test_votes_of_equal_values_and_blocks_add_up(spark):
+    rows = [(1, i, "the gut of old rats", 9, 2.0) for i in range(2)] + [(1, 10 + i, "The gut of old MICE", 1, 1.0) for i in range(5)] + [(1, 20, "the gut of young mice", 5, 1.0)]
+    df = spark.createDataFrame([(g, "f", i, v, t, None, n) for g, i, v, t, n in rows], "g long, field_name string, row_id long, value string, trust int, added_at timestamp, vote double")
+    for block in (1000, 2):
+        assert survivor.surviving_values(df, ["g", "field_name"], survivor.vote_weights, block).first().row_id == 10
+        assert survivor.surviving_values(df, ["g", "field_name"], block=block).first().row_id == 0
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=6).map(" ".join), min_size=1, max_size=6))
 def test_trust_always_follows_the_first(values):
-    assert survivor.survivor(values, survivor.trust_weights) == 0
+    assert survivor.survivor(values, [1.0] * len(values), survivor.trust_weights) == 0
 
 
 @settings(max_examples=50, deadline=None)
