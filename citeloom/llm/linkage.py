@@ -6,6 +6,7 @@ match and non-match probabilities of each level; the posterior is the pair's con
 pattern counts stays in the JVM and in DataFrames.
 
 Entries with equal text are linked once and expanded at the end, so copies neither skew a block nor multiply pairs.
+A block with more than ``CROWDED`` entries is dealt out in hashed parts, each of which meets all of its candidates.
 
 An entry without raw text is read from its parsed fields; one without any text matches nothing. Missing attributes of
 a candidate are a level of their own. Of an entry's matches only those of its best work are kept, in whichever
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from citeloom.session import cut_lineage
 
+CROWDED = 2_000
+
 #: Letters with diacritics and their plain letters.
 _ACCENTS = "àáâãäåāăąçćčďèéêëēėęěğģìíîïīįıķłļñńňņòóôõöøōőřśşšťţùúûüūůűųýÿźżž"
 _PLAIN = "aaaaaaaaacccdeeeeeeeegg" + "iiiiiii" + "kll" + "nnnn" + "oooooooo" + "r" + "sss" + "tt" + "uuuuuuuu" + "yy" + "zzz"
@@ -59,6 +62,13 @@ def part_of_work(text: Column) -> Column:
     )
 
 
+def first_author(low: Column) -> Column:
+    """The author that an entry begins with, behind its number: up to the first punctuation or digit after a word of
+    three letters, or of two if there is none, so that initials and "St." may stand before."""
+    cut = lambda n: F.regexp_extract(low, rf"^\P{{L}}*([^\d,;:(\[]*?\p{{L}}{{{n},}}[^\d,;:.(\[]*)", 1)
+    return F.coalesce(*(F.nullif(cut(n), F.lit("")) for n in (3, 2, 1)), F.lit(""))
+
+
 def prepared_entries(entries: DataFrame) -> DataFrame:
     """One row per distinct entry text, with what pairs are compared on."""
     parsed = F.concat_ws(" ", "authors_str", "title", "journal", F.col("year").cast("string"))
@@ -74,10 +84,9 @@ def _entry_features(texts: DataFrame) -> DataFrame:
     e = e.withColumns(
         {
             "years": F.array_distinct(F.transform(F.filter("numbers", lambda n: n.rlike(r"^(?:1[89]|20)\d\d$")), lambda n: n.cast("int"))),
-            "head": F.slice(F.filter("e_tokens", lambda t: t.rlike(r"^\p{L}{4,}$")), 1, 6),
-            "e_head": squeezed(F.substring("low", 1, 90)),
+            "lead": F.filter(tokens(first_author(F.col("low"))), lambda t: F.length(t) > 1),
+            "e_head": squeezed(first_author(F.col("low"))),
             "e_part": part_of_work(F.col("low")),
-            "e_squeezed": squeezed(F.col("low")),
         }
     )
     return e.withColumn("text_id", F.monotonically_increasing_id()).drop("low", "text")
@@ -85,23 +94,26 @@ def _entry_features(texts: DataFrame) -> DataFrame:
 
 def _candidate_features(candidates: DataFrame) -> DataFrame:
     title, first = folded(F.col("title")), folded(F.try_element_at("authors.last_name", F.lit(1)))
+    second = folded(F.try_element_at("authors.last_name", F.lit(2)))
     c = candidates.select(
         "cand_id",
         title.alias("c_title"),
         first.alias("first"),
+        second.alias("second"),
         F.when(F.col("year") > 0, F.col("year")).alias("c_year"),
         F.when(F.btrim("volume") != "", F.btrim("volume")).alias("volume"),
         F.nullif(F.regexp_extract(F.coalesce("pages", F.lit("")), r"^\s*(\d+)", 1), F.lit("")).alias("page"),
         F.filter(tokens(folded(F.col("journal"))), lambda t: ~t.isin("of", "in", "the", "and", "for")).alias("c_journal"),
     )
-    longest = F.array_max(F.transform(tokens(F.col("first")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    longest = lambda name: F.array_max(F.transform(tokens(F.col(name)), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     return c.withColumns(
         {
             "c_part": part_of_work(F.col("c_title")),
             "c_tokens": F.array_distinct(F.filter(tokens(F.regexp_replace("c_title", r"^comments? on:?\s*|:\s*a reply\W*$|,\s*part (?:ii+|[23])\W*$", "")), lambda t: F.length(t) > 1)),
             "c_symbols": F.array_distinct(joined_symbols(F.col("c_title"))),
             "surname": squeezed(F.col("first")),
-            "stem": longest,
+            # the first two authors are at times in another order
+            "stems": F.array_distinct(F.array_compact(F.array(longest("first"), longest("second")))),
             "work": squeezed(F.col("c_title")),
         }
     )
@@ -109,14 +121,14 @@ def _candidate_features(candidates: DataFrame) -> DataFrame:
 
 def _entry_keys(e: DataFrame) -> DataFrame:
     """Blocking keys of entries: place in a journal and year, symbol and first author, year and first author."""
-    near = F.flatten(F.transform("years", lambda y: F.array(y - 1, y, y + 1)))
+    years = F.transform("years", lambda y: y.cast("string"))
     plain = F.filter("numbers", lambda n: ~n.rlike(r"^(?:1[89]|20)\d\d$") | (F.size("numbers") > 3))
-    pairs = F.flatten(F.transform(plain, lambda a, i: F.transform(F.slice(plain, i + 2, 3), lambda b: F.concat_ws("|", a, b))))
-    place = F.flatten(F.transform(pairs, lambda p: F.transform(near, lambda y: F.concat_ws("|", F.lit("P"), p, y.cast("string")))))
-    start = F.flatten(F.transform("symbols", lambda g: F.transform("head", lambda h: F.concat_ws("|", F.lit("G"), g, F.substring(h, 1, 4)))))
-    end = F.flatten(F.transform("symbols", lambda g: F.transform("head", lambda h: F.concat_ws("|", F.lit("H"), g, F.right(h, F.lit(4))))))
-    year = F.flatten(F.transform("head", lambda h: F.transform(near, lambda y: F.concat_ws("|", F.lit("Y"), y.cast("string"), h))))
-    undated = F.concat(F.transform(pairs, lambda p: F.concat_ws("|", F.lit("Q"), p)), F.transform("head", lambda h: F.concat_ws("|", F.lit("Z"), h)))
+    pairs = F.array_distinct(F.flatten(F.transform(plain, lambda a, i: F.transform(F.slice(plain, i + 2, 3), lambda b: F.concat_ws("|", a, b)))))
+    place = F.flatten(F.transform(pairs, lambda p: F.transform(years, lambda y: F.concat_ws("|", F.lit("P"), p, y))))
+    start = F.flatten(F.transform("symbols", lambda g: F.transform("lead", lambda h: F.concat_ws("|", F.lit("G"), g, F.substring(h, 1, 4)))))
+    end = F.flatten(F.transform("symbols", lambda g: F.transform("lead", lambda h: F.concat_ws("|", F.lit("H"), g, F.right(h, F.lit(4))))))
+    year = F.flatten(F.transform("lead", lambda h: F.transform(years, lambda y: F.concat_ws("|", F.lit("Y"), y, h))))
+    undated = F.concat(F.transform(pairs, lambda p: F.concat_ws("|", F.lit("Q"), p)), F.transform("lead", lambda h: F.concat_ws("|", F.lit("Z"), h)))
     return e.select("text_id", _exploded(F.concat(place, start, end, year, undated)))
 
 
@@ -126,17 +138,34 @@ def _exploded(keys: Column) -> Column:
 
 
 def _candidate_keys(c: DataFrame) -> DataFrame:
-    place = F.when(F.col("volume").isNotNull() & F.col("page").isNotNull() & F.col("c_year").isNotNull(), F.array(F.concat_ws("|", F.lit("P"), "volume", "page", F.col("c_year").cast("string"))))
-    start = F.transform("c_symbols", lambda g: F.concat_ws("|", F.lit("G"), g, F.substring("stem", 1, 4)))
-    end = F.transform("c_symbols", lambda g: F.concat_ws("|", F.lit("H"), g, F.right("stem", F.lit(4))))
-    year = F.when(F.col("c_year").isNotNull(), F.array(F.concat_ws("|", F.lit("Y"), F.col("c_year").cast("string"), "stem")))
+    # the year may be off by one; the candidate, which has one year, takes the three keys
+    near = F.transform(F.array(*[F.col("c_year") + i for i in (-1, 0, 1)]), lambda y: y.cast("string"))
+    place = F.when(F.col("volume").isNotNull() & F.col("page").isNotNull() & F.col("c_year").isNotNull(), F.transform(near, lambda y: F.concat_ws("|", F.lit("P"), "volume", "page", y)))
+    by_stem = lambda key: F.flatten(F.transform("stems", key))
+    start = by_stem(lambda a: F.transform("c_symbols", lambda g: F.concat_ws("|", F.lit("G"), g, F.substring(a, 1, 4))))
+    end = by_stem(lambda a: F.transform("c_symbols", lambda g: F.concat_ws("|", F.lit("H"), g, F.right(a, F.lit(4)))))
+    year = F.when(F.col("c_year").isNotNull(), by_stem(lambda a: F.transform(near, lambda y: F.concat_ws("|", F.lit("Y"), y, a))))
     # works without a year, a small share, also meet by place alone and by first author alone
-    undated = F.when(F.col("c_year").isNull(), F.array(F.concat_ws("|", F.lit("Q"), F.coalesce("volume", F.lit("?")), F.coalesce("page", F.lit("?"))), F.concat_ws("|", F.lit("Z"), "stem")))
+    alone = F.concat(F.array(F.concat_ws("|", F.lit("Q"), F.coalesce("volume", F.lit("?")), F.coalesce("page", F.lit("?")))), F.transform("stems", lambda a: F.concat_ws("|", F.lit("Z"), a)))
+    undated = F.when(F.col("c_year").isNull(), alone)
     none = F.array().cast("array<string>")
     keys = F.concat(*(F.coalesce(k, none) for k in (place, start, end, year, undated)))
     return c.select("cand_id", _exploded(keys))
 
 
+def _blocked(entry_keys: DataFrame, cand_keys: DataFrame) -> DataFrame:
+    """(text_id, cand_id) of all that share a key."""
+    crowded = cut_lineage(entry_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED))
+    if not crowded.isEmpty():
+        parts = crowded.select("key", F.ceil(F.col("n") / CROWDED).cast("int").alias("parts"))
+        sized = lambda side: side.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        entry_keys = sized(entry_keys).select("text_id", F.xxhash64("key", F.pmod(F.xxhash64("text_id"), "parts")).alias("key"))
+        every = F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)
+        cand_keys = sized(cand_keys).select("cand_id", "key", F.explode(every).alias("part")).select("cand_id", F.xxhash64("key", "part").alias("key"))
+    # dealt out by candidate, where its features are needed next
+    return entry_keys.join(cand_keys, "key").select("text_id", "cand_id").repartition("cand_id").distinct()
+
+
 def _levels() -> dict[str, Column]:
     """The agreement level of each attribute of a pair."""
     share = F.size(F.array_intersect("c_tokens", F.concat("e_tokens", "symbols"))) / F.greatest(F.size("c_tokens"), F.lit(1))
@@ -144,7 +173,7 @@ def _levels() -> dict[str, Column]:
     alike = lambda g, s: (F.regexp_extract(g, r"(\d+)$", 1) == F.regexp_extract(s, r"(\d+)$", 1)) & (F.levenshtein(g, s) <= 2)
     held = F.size(F.filter("c_symbols", lambda g: F.exists("symbols", lambda s: alike(g, s))))
     gene = F.when(F.size("c_symbols") == 0, 1).when(held == F.size("c_symbols"), 2).otherwise(0)
-    near_name = F.exists(F.slice("e_tokens", 1, 8), lambda t: F.levenshtein(t, F.col("stem")) <= F.when(F.length("stem") > 6, 2).otherwise(1))
+    near_name = F.exists("stems", lambda a: F.exists("lead", lambda t: F.levenshtein(t, a) <= F.when(F.length(a) > 6, 2).otherwise(1)))
     author = F.when(F.length("surname") == 0, 0).when(F.contains(F.col("e_head"), F.col("surname")), 2).when(near_name, 1).otherwise(0)
     year = (
         F.when(F.col("c_year").isNull() | (F.size("years") == 0), 1)
@@ -201,8 +230,9 @@ def linked(entries: DataFrame, candidates: DataFrame, least: float = 0.5) -> Dat
     keyed = rows.withColumn("text_key", F.sha2("text", 256))
     e = cut_lineage(_entry_features(keyed.groupBy("text_key").agg(F.first("text").alias("text"))))
     c = _candidate_features(candidates)
-    pairs = _entry_keys(e).join(_candidate_keys(c), "key").select("text_id", "cand_id").distinct()
-    compared = pairs.join(e.drop("text_key"), "text_id").join(c, "cand_id").withColumns(_levels())
+    pairs = _blocked(_entry_keys(e), _candidate_keys(c))
+    # candidates are the shorter records, so they travel to the entries
+    compared = pairs.join(c, "cand_id").join(e.drop("text_key"), "text_id").withColumns(_levels())
     compared = compared.select("text_id", "cand_id", "work", *LEVELS, _contradiction().alias("ruled_out"))
     compared = cut_lineage(compared)
     names = list(LEVELS)

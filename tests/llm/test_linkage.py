@@ -75,3 +75,33 @@ def test_folding_and_parts(spark):
 
 def test_accent_table_is_aligned():
     assert len(lk._ACCENTS) == len(lk._PLAIN)
+
+
+def test_first_author(spark):
+    cases = {
+        "46. Tupel QL, Zabra F: title": "tupel ql",
+        "[4] t. k. nisi, j. grid, title": "t. k. nisi",
+        "12 van der Berg KO 1999 title": "van der berg ko ",
+        "St. John AB, Lee C": "st. john ab",
+        "Li X, Wu Y. Title": "li x",
+        "O'Neil P (2001) title": "o'neil p ",
+        "张 伟, 李 娜": "张 伟",
+        "123": "",
+        "": "",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    got = df.select("want", lk.first_author(lk.folded(F.col("t"))).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_short_names_and_swapped_authors(spark):
+    title = "Abc1 modulates pathway number qqqq in cultured cells"
+    cand = [(3000, title, [("Li", "", "X"), ("Wu", "", "Y")], 1995, None, None, None)]
+    entry = [(600, 1, f"7. Li X, Wu Y. {title}. J Cells. 1995.", None, None, None, None, "x"), (601, 1, f"8. Wu Y, Li X. {title}. J Cells. 1995.", None, None, None, None, "x")]
+    assert {(600, 3000), (601, 3000)} <= pairs(lk.linked(*tables(spark, entry, cand)))
+
+
+def test_crowded_blocks_lose_nothing(spark, monkeypatch):
+    want = pairs(lk.linked(*tables(spark)))
+    monkeypatch.setattr(lk, "CROWDED", 1)
+    assert pairs(lk.linked(*tables(spark))) == want
