@@ -41,6 +41,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def hashes(words: Column) -> Column:
+    """Each word as 64 bits, which is shorter to send and faster to compare."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
 
@@ -89,7 +94,8 @@ def _entry_features(texts: DataFrame) -> DataFrame:
             "e_part": part_of_work(F.col("low")),
         }
     )
-    return e.withColumn("text_id", F.monotonically_increasing_id()).drop("low", "text")
+    e = e.withColumns({"text_id": F.monotonically_increasing_id(), "e_words": hashes(F.concat("e_tokens", "symbols")), "e_keys": _entry_keys()})
+    return e.drop("low", "text")
 
 
 def _candidate_features(candidates: DataFrame) -> DataFrame:
@@ -109,17 +115,17 @@ def _candidate_features(candidates: DataFrame) -> DataFrame:
     return c.withColumns(
         {
             "c_part": part_of_work(F.col("c_title")),
-            "c_tokens": F.array_distinct(F.filter(tokens(F.regexp_replace("c_title", r"^comments? on:?\s*|:\s*a reply\W*$|,\s*part (?:ii+|[23])\W*$", "")), lambda t: F.length(t) > 1)),
+            "c_words": hashes(F.array_distinct(F.filter(tokens(F.regexp_replace("c_title", r"^comments? on:?\s*|:\s*a reply\W*$|,\s*part (?:ii+|[23])\W*$", "")), lambda t: F.length(t) > 1))),
             "c_symbols": F.array_distinct(joined_symbols(F.col("c_title"))),
             "surname": squeezed(F.col("first")),
             # the first two authors are at times in another order
             "stems": F.array_distinct(F.array_compact(F.array(longest("first"), longest("second")))),
-            "work": squeezed(F.col("c_title")),
+            "work": F.xxhash64(squeezed(F.col("c_title"))),
         }
     )
 
 
-def _entry_keys(e: DataFrame) -> DataFrame:
+def _entry_keys() -> Column:
     """Blocking keys of entries: place in a journal and year, symbol and first author, year and first author."""
     years = F.transform("years", lambda y: y.cast("string"))
     plain = F.filter("numbers", lambda n: ~n.rlike(r"^(?:1[89]|20)\d\d$") | (F.size("numbers") > 3))
@@ -129,15 +135,11 @@ def _entry_keys(e: DataFrame) -> DataFrame:
     end = F.flatten(F.transform("symbols", lambda g: F.transform("lead", lambda h: F.concat_ws("|", F.lit("H"), g, F.right(h, F.lit(4))))))
     year = F.flatten(F.transform("lead", lambda h: F.transform(years, lambda y: F.concat_ws("|", F.lit("Y"), y, h))))
     undated = F.concat(F.transform(pairs, lambda p: F.concat_ws("|", F.lit("Q"), p)), F.transform("lead", lambda h: F.concat_ws("|", F.lit("Z"), h)))
-    return e.select("text_id", _exploded(F.concat(place, start, end, year, undated)))
-
-
-def _exploded(keys: Column) -> Column:
-    """Keys as 64-bit hashes, one per row; two keys with one hash only add pairs, which are compared like all others."""
-    return F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key")
+    return F.array_distinct(hashes(F.concat(place, start, end, year, undated)))
 
 
 def _candidate_keys(c: DataFrame) -> DataFrame:
+    """The blocking keys of candidates as 64-bit hashes, one per row, like those of entries; two keys with one hash only add pairs."""
     # the year may be off by one; the candidate, which has one year, takes the three keys
     near = F.transform(F.array(*[F.col("c_year") + i for i in (-1, 0, 1)]), lambda y: y.cast("string"))
     place = F.when(F.col("volume").isNotNull() & F.col("page").isNotNull() & F.col("c_year").isNotNull(), F.transform(near, lambda y: F.concat_ws("|", F.lit("P"), "volume", "page", y)))
@@ -150,7 +152,7 @@ def _candidate_keys(c: DataFrame) -> DataFrame:
     undated = F.when(F.col("c_year").isNull(), alone)
     none = F.array().cast("array<string>")
     keys = F.concat(*(F.coalesce(k, none) for k in (place, start, end, year, undated)))
-    return c.select("cand_id", _exploded(keys))
+    return c.select("cand_id", F.explode(F.array_distinct(hashes(keys))).alias("key"))
 
 
 def _blocked(entry_keys: DataFrame, cand_keys: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def _blocked(entry_keys: DataFrame, cand_keys: DataFrame) -> DataFrame:
 
 def _levels() -> dict[str, Column]:
     """The agreement level of each attribute of a pair."""
-    share = F.size(F.array_intersect("c_tokens", F.concat("e_tokens", "symbols"))) / F.greatest(F.size("c_tokens"), F.lit(1))
+    share = F.size(F.array_intersect("c_words", "e_words")) / F.greatest(F.size("c_words"), F.lit(1))
     title = F.when(share >= 0.95, 4).when(share >= 0.75, 3).when(share >= 0.5, 2).when(share >= 0.3, 1).otherwise(0)
     alike = lambda g, s: (F.regexp_extract(g, r"(\d+)$", 1) == F.regexp_extract(s, r"(\d+)$", 1)) & (F.levenshtein(g, s) <= 2)
     held = F.size(F.filter("c_symbols", lambda g: F.exists("symbols", lambda s: alike(g, s))))
@@ -230,9 +232,9 @@ def linked(entries: DataFrame, candidates: DataFrame, least: float = 0.5) -> Dat
     keyed = rows.withColumn("text_key", F.sha2("text", 256))
     e = cut_lineage(_entry_features(keyed.groupBy("text_key").agg(F.first("text").alias("text"))))
     c = _candidate_features(candidates)
-    pairs = _blocked(_entry_keys(e), _candidate_keys(c))
+    pairs = _blocked(e.select("text_id", F.explode("e_keys").alias("key")), _candidate_keys(c))
     # candidates are the shorter records, so they travel to the entries
-    compared = pairs.join(c, "cand_id").join(e.drop("text_key"), "text_id").withColumns(_levels())
+    compared = pairs.join(c, "cand_id").join(e.drop("text_key", "e_keys"), "text_id").withColumns(_levels())
     compared = compared.select("text_id", "cand_id", "work", *LEVELS, _contradiction().alias("ruled_out"))
     compared = cut_lineage(compared)
     names = list(LEVELS)
