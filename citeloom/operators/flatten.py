@@ -1,14 +1,24 @@
 """Deeply nested JSON records as related flat tables.
 
-Records are parsed once into VARIANT, so no schema is fixed in advance: `merged_schema` infers the union
-of all shapes, and every array level is exploded into a child table whose rows carry the key of the parent
-row and their ordinal in the array. All of it runs inside the JVM; nothing is collected.
+Records are parsed once into VARIANT, so no schema is fixed in advance. Level by level `list_levels` infers the merged
+schema of all records, finds every list in it, also where some records hold a single value in its place, and
+`nodes` explodes each into a child table whose rows carry a surrogate key, the key of the parent row and their
+ordinal. All rows stay inside the JVM; only the schemas, whose size does not grow with the rows, come to the driver.
+
+Null, empty and damaged records give no rows; a null or empty list has no children; repeated records are records of
+their own under their ids. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType, VariantType
+
+from citeloom.session import cut_lineage
 
 #: Character references that JSON text inside markup carries; the ampersand comes last.
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
@@ -25,19 +35,17 @@ def json_in_text(text: Column) -> Column:
     for entity, char in ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     # an object written as a JSON string: the outer parse gives a string, the inner one the object
-    inner = F.try_variant_get(F.try_parse_json(F.btrim(text)), "$", "string")
-    readings = [text, F.when(F.btrim(text).startswith('"'), inner), F.when(text.contains("&quot;"), plain)]
-    return F.coalesce(*(as_object(F.try_parse_json(_object_part(x))) for x in readings))
+    inner = F.when(F.btrim(text).startswith('"'), F.try_variant_get(F.try_parse_json(F.btrim(text)), "$", "string"))
+    readings = [text, inner, F.when(text.contains("&quot;"), plain)]
+    return F.coalesce(*(F.try_parse_json(_object_part(x)) for x in readings))
 
 
-def as_object(variant: Column) -> Column:
-    """``variant`` if it is an object, else null."""
-    return F.when(is_kind(variant, "OBJECT"), variant)
+def is_list(variant: Column) -> Column:
+    return F.try_variant_get(variant, "$", "array<variant>").isNotNull()
 
 
-def is_kind(variant: Column, kind: str) -> Column:
-    """Whether ``variant`` is an ``OBJECT`` or an ``ARRAY``; false for null."""
-    return F.coalesce(F.schema_of_variant(variant).startswith(kind), F.lit(False))
+def is_object(variant: Column) -> Column:
+    return F.try_variant_get(variant, "$", "map<string, variant>").isNotNull()
 
 
 def _object_part(text: Column) -> Column:
@@ -61,57 +69,138 @@ def at(variant: Column, path: str) -> Column:
 
 def as_list(variant: Column) -> Column:
     """An array of VARIANT: a list as it is, a single value as a list of one, null and absence as an empty list."""
-    is_list = is_kind(variant, "ARRAY")
-    return F.when(variant.isNull(), F.array().cast("array<variant>")).when(is_list, F.try_variant_get(variant, "$", "array<variant>")).otherwise(F.array(variant))
+    alone = F.when(variant.isNull(), F.array().cast("array<variant>")).otherwise(F.array(variant))
+    return F.coalesce(F.try_variant_get(variant, "$", "array<variant>"), alone)
 
 
 def as_text(variant: Column) -> Column:
     """A scalar as text; null where there is none."""
-    return F.when(~is_kind(variant, "OBJECT") & ~is_kind(variant, "ARRAY"), F.try_variant_get(variant, "$", "string"))
-
-
-def explode_level(df: DataFrame, keys: list[str], values: Column, pos: str, value: str) -> DataFrame:
-    """The child table of one array level: the parent's key columns, the ordinal from 1 and the element.
-
-    Parents without elements give no row. JSON nulls inside a list keep their ordinal."""
-    exploded = df.select(*keys, F.posexplode(values).alias("_pos", value))
-    return exploded.select(*keys, (F.col("_pos") + 1).cast("int").alias(pos), value)
-
-
-def cited_items(payloads: DataFrame, payload_id: str = "payload_id", payload: str = "payload") -> DataFrame:
-    """Items of citation payloads, of both schema versions: (payload_id, item_pos, item).
-
-    Version 2 names the list ``citationItems``, the older one ``items``; a single object stands for a list of one."""
-    parsed = payloads.select(F.col(payload_id).alias("payload_id"), json_in_text(F.col(payload)).alias("_doc")).where(F.col("_doc").isNotNull())
-    items = F.coalesce(at(F.col("_doc"), "$.citationItems"), at(F.col("_doc"), "$.items"))
-    level = explode_level(parsed, ["payload_id"], as_list(items), "item_pos", "item")
-    return level.where(is_kind(F.col("item"), "OBJECT"))
-
-
-def item_record(item: Column) -> Column:
-    """The record data of an item in either schema version."""
-    return F.coalesce(at(item, "$.itemData"), at(item, "$.item"))
-
-
-def item_children(items: DataFrame) -> DataFrame:
-    """All child tables of `cited_items` in long form: (payload_id, item_pos, child, child_pos, val).
+    return F.when(~is_object(variant) & ~is_list(variant), F.try_variant_get(variant, "$", "string"))
+
+
+# ---------------------------------------------------------------- all lists of a record
+
+Keys = tuple[str, ...]
+Lists = dict[str, list[tuple[str, Keys]]]
+
+
+def _step(variant: Column, keys: Keys, older: Mapping[str, str]) -> Column:
+    """The value below ``keys``; where a key is absent, the one that ``older`` records use in its place is tried."""
+    quoted = lambda k: f"$['{k}']" if "'" not in k else f'$["{k}"]'
+    for key in keys:
+        names = [key, *(old for old, new in older.items() if new == key)]
+        variant = F.coalesce(*(at(variant, quoted(n)) for n in names))
+    return variant
+
+
+def _schema(ddl: str | None) -> DataType | None:
+    """A VARIANT's schema as a data type; None for the schema of nothing."""
+    return None if ddl in (None, "VOID") else DataType.fromDDL(ddl.replace("OBJECT<", "STRUCT<"))
+
+
+def list_levels(level: DataFrame, older: Mapping[str, str]) -> Lists:
+    """For each path of ``level`` (path, value) the lists in its values: (path of the list, keys to it).
+
+    A field that is a list in some values and something else in others is a list; one that is an object in some is
+    looked into."""
+    found: dict[str, dict[Keys, None]] = {}
+
+    def walk(path: str, keys: Keys, kind: DataType | None, doubtful: list[tuple[str, Keys]]) -> None:
+        if isinstance(kind, ArrayType):
+            found.setdefault(path, {})[keys] = None
+        elif isinstance(kind, StructType):
+            for f in kind.fields:
+                if "'" in f.name and '"' in f.name:
+                    continue  # no path can name such a key
+                walk(path, (*keys, older.get(f.name, f.name)), f.dataType, doubtful)
+        elif isinstance(kind, VariantType):
+            doubtful.append((path, keys))
+
+    objects = F.schema_of_variant_agg(F.when(is_object(F.col("value")), F.col("value")))
+    doubtful: list[tuple[str, Keys]] = []
+    for r in level.groupBy("path").agg(objects.alias("s"), F.bool_or(is_list(F.col("value"))).alias("lists")).collect():
+        if r.lists:
+            found.setdefault(r.path, {})[()] = None
+        walk(r.path, (), _schema(r.s), doubtful)
+    while doubtful:
+        asked, doubtful = doubtful, []
+        cols = []
+        for k, (path, keys) in enumerate(asked):
+            v = F.when(F.col("path") == path, _step(F.col("value"), keys, older))
+            cols += [F.bool_or(is_list(v)).alias(f"l{k}"), F.schema_of_variant_agg(F.when(is_object(v), v)).alias(f"s{k}")]
+        r = level.agg(*cols).first()
+        for k, (path, keys) in enumerate(asked):
+            walk(path, keys, ArrayType(VariantType()) if r[f"l{k}"] else _schema(r[f"s{k}"]), doubtful)
+    name = lambda path, keys: ".".join([*([path] if path else []), *(keys or ("[]",))])
+    return {path: [(name(path, keys), keys) for keys in some] for path, some in found.items()}
+
+
+def nodes(records: DataFrame, older: Mapping[str, str] | None = None, wanted: Callable[[str], bool] = lambda path: True) -> DataFrame:
+    """The rows of all child tables: (root_id, path, row_key, parent_key, ordinals, value).
+
+    ``records`` has root_id and value. ``path`` names the child table; ``ordinals`` holds the ordinals from the
+    outermost list to the row, from 1. ``older`` maps keys of older records to the keys that replaced them. Lists
+    whose path is not ``wanted`` are left out with all below them. A list's JSON nulls keep their ordinals."""
+    older = older or {}
+    root = F.col("root_id").cast("string")
+    level = records.where("value is not null").select("root_id", F.lit("").alias("path"), root.alias("row_key"), F.lit(None).cast("string").alias("parent_key"), F.array().cast("array<int>").alias("ordinals"), "value")
+    out: DataFrame | None = None
+    while lists := {path: kept for path, some in list_levels(level, older).items() if (kept := [x for x in some if wanted(x[0])])}:
+        rows: Column | None = None
+        for path, some in lists.items():
+            element = lambda name, keys: lambda v, i: F.struct(F.lit(name).alias("child"), F.lit(".".join(keys) or "[]").alias("segment"), (i + 1).cast("int").alias("ordinal"), v.alias("element"))
+            parts = F.concat(*(F.transform(as_list(_step(F.col("value"), keys, older)), element(name, keys)) for name, keys in some))
+            rows = F.when(F.col("path") == path, parts) if rows is None else rows.when(F.col("path") == path, parts)
+        exploded = level.select("root_id", F.col("row_key").alias("parent_key"), "ordinals", F.inline(rows))
+        level = exploded.select(
+            "root_id",
+            F.col("child").alias("path"),
+            F.concat("parent_key", F.lit("/"), F.col("segment"), F.lit("["), F.col("ordinal").cast("string"), F.lit("]")).alias("row_key"),
+            "parent_key",
+            F.concat("ordinals", F.array("ordinal")).alias("ordinals"),
+            F.col("element").alias("value"),
+        )
+        out = level if out is None else out.unionByName(level)
+    return level.where("false") if out is None else out
+
+
+# ---------------------------------------------------------------- citation payloads
+
+#: Keys of the older payload version and what replaced them.
+OLDER_KEYS = {"items": "citationItems", "item": "itemData"}
+ITEMS = "citationItems"
+_CHILDREN = {"uri": rf"^{ITEMS}\.uris$", "author": rf"^{ITEMS}\.itemData\.author$", "mesh": rf"^{ITEMS}\.itemData\.custom\.[^.]+\.meshTerms$"}
+
+
+def parsed_payloads(payloads: DataFrame, payload_id: str = "payload_id", payload: str = "payload") -> DataFrame:
+    """(root_id, value): payloads with complete JSON, parsed once and kept."""
+    parsed = payloads.select(F.col(payload_id).alias("root_id"), json_in_text(F.col(payload)).alias("value"))
+    return cut_lineage(parsed.where("value is not null"))
+
+
+def payload_nodes(payloads: DataFrame, payload_id: str = "payload_id", payload: str = "payload") -> DataFrame:
+    """All child tables of citation payloads, of both versions, with their keys and scalar values as text."""
+    rows = nodes(parsed_payloads(payloads, payload_id, payload), OLDER_KEYS)
+    return rows.select("root_id", "path", "row_key", "parent_key", F.element_at("ordinals", -1).alias("ordinal"), as_text(F.col("value")).alias("val"))
+
+
+def item_children(payloads: DataFrame, payload_id: str = "payload_id", payload: str = "payload") -> DataFrame:
+    """Cited items with their URIs, authors and subject terms: (payload_id, item_pos, child, child_pos, val).
 
     Subject terms are the ``meshTerms`` of the application's own block, whichever key it has under ``custom``.
     The item itself has child_pos 0 and as value its ``id``, else its record's, else ''. URIs, authors and subject
     terms follow with their ordinals from 1. An author without a family name and a null element give ''.
     """
-    keys = ["payload_id", "item_pos"]
-    rec = items.select(*keys, "item", item_record(F.col("item")).alias("rec"))
-    text = lambda c: F.coalesce(as_text(c), F.lit(""))
-    own = F.coalesce(as_text(at(F.col("item"), "$.id")), as_text(at(F.col("rec"), "$.id")), F.lit(""))
-    family = lambda a: F.coalesce(as_text(at(a, "$.family")), as_text(at(a, "$.literal")), as_text(a), F.lit(""))
-    blocks = F.try_variant_get(at(F.col("rec"), "$.custom"), "$", "map<string, variant>")
-    struct = lambda child: lambda v, i: F.struct(F.lit(child).alias("child"), (i + 1).cast("int").alias("child_pos"), v.alias("val"))
-    part = lambda child, values, f: F.transform(F.transform(values, f), struct(child))
-    rows = F.concat(
-        F.array(F.struct(F.lit("item").alias("child"), F.lit(0).alias("child_pos"), own.alias("val"))),
-        part("uri", as_list(at(F.col("item"), "$.uris")), text),
-        part("author", as_list(at(F.col("rec"), "$.author")), family),
-        part("mesh", F.flatten(F.transform(F.coalesce(F.map_values(blocks), F.array().cast("array<variant>")), lambda b: as_list(at(b, "$.meshTerms")))), text),
-    )
-    return rec.select(*keys, F.inline(rows))
+    pattern = "|".join(_CHILDREN.values())
+    wanted = lambda path: path == ITEMS or bool(re.match(pattern, path))
+    rows = nodes(parsed_payloads(payloads, payload_id, payload), OLDER_KEYS, wanted)
+    v = F.col("value")
+    own = F.coalesce(as_text(at(v, "$.id")), as_text(at(_step(v, ("itemData",), OLDER_KEYS), "$.id")), F.lit(""))
+    family = F.coalesce(as_text(at(v, "$.family")), as_text(at(v, "$.literal")), as_text(v), F.lit(""))
+    kind = F.lit("item")
+    for child, path in _CHILDREN.items():
+        kind = F.when(F.col("path").rlike(path), child).otherwise(kind)
+    of_items = rows.where((F.col("path") != ITEMS) | is_object(v)).withColumn("child", kind)
+    val = F.when(F.col("child") == "item", own).when(F.col("child") == "author", family).otherwise(F.coalesce(as_text(v), F.lit("")))
+    pos = F.when(F.col("child") == "item", 0).otherwise(F.try_element_at("ordinals", F.lit(2)))
+    return of_items.select(F.col("root_id").alias("payload_id"), F.element_at("ordinals", 1).alias("item_pos"), "child", pos.alias("child_pos"), val.alias("val"))

@@ -25,7 +25,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited items of the payloads with their URIs, authors and subject terms as flat rows (problem 5)."""
-    return flatten.item_children(flatten.cited_items(read_table(spark, sf_dir, "cite_payloads")))
+    return flatten.item_children(read_table(spark, sf_dir, "cite_payloads"))
+
+
+def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list of the payloads, at any depth, as child tables with surrogate and parent keys."""
+    return flatten.payload_nodes(read_table(spark, sf_dir, "cite_payloads"))
 
 
 def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +39,5 @@ def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.merged_schema(payloads, "doc")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_schema": p5_schema}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_tables": p5_tables, "p5_schema": p5_schema}
 ORACLES: dict[str, str] = {}
