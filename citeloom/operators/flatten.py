@@ -135,17 +135,20 @@ def list_levels(level: DataFrame, older: Mapping[str, str]) -> Lists:
     return {path: [(name(path, keys), keys) for keys in some] for path, some in found.items()}
 
 
-def nodes(records: DataFrame, older: Mapping[str, str] | None = None, wanted: Callable[[str], bool] = lambda path: True) -> DataFrame:
+def nodes(records: DataFrame, older: Mapping[str, str] | None = None, wanted: Callable[[str], bool] = lambda path: True, depth: int | None = None) -> DataFrame:
     """The rows of all child tables: (root_id, path, row_key, parent_key, ordinals, value).
 
     ``records`` has root_id and value. ``path`` names the child table; ``ordinals`` holds the ordinals from the
     outermost list to the row, from 1. ``older`` maps keys of older records to the keys that replaced them. Lists
-    whose path is not ``wanted`` are left out with all below them. A list's JSON nulls keep their ordinals."""
+    whose path is not ``wanted`` are left out with all below them, and with ``depth`` those nested deeper; schemas are
+    not inferred for what is left out. A list's JSON nulls keep their ordinals."""
     older = older or {}
     root = F.col("root_id").cast("string")
     level = records.where("value is not null").select("root_id", F.lit("").alias("path"), root.alias("row_key"), F.lit(None).cast("string").alias("parent_key"), F.array().cast("array<int>").alias("ordinals"), "value")
     out: DataFrame | None = None
-    while lists := {path: kept for path, some in list_levels(level, older).items() if (kept := [x for x in some if wanted(x[0])])}:
+    at_depth = 0
+    while (depth is None or at_depth < depth) and (lists := {path: kept for path, some in list_levels(level, older).items() if (kept := [x for x in some if wanted(x[0])])}):
+        at_depth += 1
         rows: Column | None = None
         for path, some in lists.items():
             element = lambda name, keys: lambda v, i: F.struct(F.lit(name).alias("child"), F.lit(".".join(keys) or "[]").alias("segment"), (i + 1).cast("int").alias("ordinal"), v.alias("element"))
@@ -193,7 +196,7 @@ def item_children(payloads: DataFrame, payload_id: str = "payload_id", payload:
     """
     pattern = "|".join(_CHILDREN.values())
     wanted = lambda path: path == ITEMS or bool(re.match(pattern, path))
-    rows = nodes(parsed_payloads(payloads, payload_id, payload), OLDER_KEYS, wanted)
+    rows = nodes(parsed_payloads(payloads, payload_id, payload), OLDER_KEYS, wanted, depth=2)
     v = F.col("value")
     own = F.coalesce(as_text(at(v, "$.id")), as_text(at(_step(v, ("itemData",), OLDER_KEYS), "$.id")), F.lit(""))
     family = F.coalesce(as_text(at(v, "$.family")), as_text(at(v, "$.literal")), as_text(v), F.lit(""))
