@@ -13,13 +13,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values packed in citation markers and in author strings, in order (problem 3)."""
     markers = read_table(spark, sf_dir, "markers")
     entries = read_table(spark, sf_dir, "bib_entries")
-    known = lambda values: segment.DictionarySet(segment.dictionary_blocks(values))
-    dictionary = known(entries.select(F.explode(segment.quoted_whole_values(F.col("authors_str"))).alias("v")))
-    in_quotes = known(markers.select(F.explode(segment.quoted_with_delimiters(F.col("text"))).alias("v")))
+    whole = entries.select(F.explode(segment.quoted_whole_values(F.col("authors_str"))).alias("v"))
+    in_quotes = markers.select(F.explode(segment.quoted_with_delimiters(F.col("text"))).alias("v"))
     given = read_table(spark, sf_dir, "candidates").select(F.explode("authors.first_name").alias("v"))
-    names = segment.given_names(given)
-    in_markers = segment.packed_values(markers, "marker_id", "text", "markers.text", segment.marker_splitter(in_quotes))
-    in_authors = segment.packed_values(entries, "entry_id", "authors_str", "bib_entries.authors_str", segment.author_splitter(dictionary, names))
+    in_markers = segment.packed_values(markers, "marker_id", "text", "markers.text", segment.split_marker, in_quotes)
+    in_authors = segment.packed_values(entries, "entry_id", "authors_str", "bib_entries.authors_str", segment.author_values, whole, given)
     return in_markers.unionByName(in_authors)
 
 
