@@ -1,4 +1,4 @@
-"""Citation numbers as Column functions: expansion, ranges, renumbering, rendering."""
+"""Citation numbers as Column functions: expansion, ranges, renumbering, rendering."""
 
 from __future__ import annotations
 
@@ -79,6 +79,14 @@ def digit_core(text: Column) -> Column:
     return F.struct(part(1).alias("prefix"), part(2).alias("core"), part(3).alias("suffix"))
 
 
+def renumber_superscript(text: Column, mapping: Column) -> Column:
+    """A superscript run under new numbers (H19): what stands around its digits stays; a run without ", " stays without."""
+    core = digit_core(text)
+    moved = renumber(core["core"], mapping)
+    tight = F.when(F.contains(text, F.lit(", ")), moved).otherwise(F.replace(moved, F.lit(", "), F.lit(",")))
+    return F.when(core["core"] != "", F.concat(core["prefix"], tight, core["suffix"])).otherwise(text)
+
+
 #: The styles' affixes. Columns: style, prefix, suffix, delimiter, collapse, superscript, author_date, number affixes.
 STYLES = [
     *[(s, "", "", ",", True, True, False, "", "") for s in ("nih_grant", "ama", "nlm", "cse_citation_seq", "nature", "cell", "acs")],

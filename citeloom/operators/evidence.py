@@ -1,4 +1,4 @@
-"""Evidence of citations: verdicts, merges, slots, quality checks, guards."""
+"""Evidence of citations: verdicts, merges, slots, quality checks, guards."""
 
 from __future__ import annotations
 

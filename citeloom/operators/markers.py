@@ -1,4 +1,4 @@
-"""Citation markers in running text: the full grammar.
+"""Citation markers in running text: the full grammar.
 
 The inside of a parenthetical is cut into tokens (words, numbers, DOIs, punctuation) that know whether a blank stands
 before them. A recursive descent over the tokens reads a list of items: search tokens, identifiers, author-year
@@ -382,6 +382,21 @@ def prescan(markers: DataFrame, keys: list[str]) -> DataFrame:
     return markers.groupBy(*keys).agg(F.count_if(~suggested).alias("n_search"), F.count_if(suggested & ~cites).alias("n_by_id"), F.count_if(suggested & cites).alias("n_author_year"))
 
 
+def legacy_kinds(kinds: Column, marker_type: Column, count: Column, raw_text: Column) -> Column:
+    """The kinds of a sentence's markers where older projects kept less (R1): as stored, else by the plain search tokens of
+    the text, else its one kind as often as it was counted."""
+    none = F.array().cast("array<string>")
+    read = F.when(marker_type.isNotNull(), F.regexp_extract_all(F.coalesce(raw_text, F.lit("")), F.lit(r"\((REFS?)\)"), F.lit(1))).otherwise(none)
+    repeated = F.when(marker_type.isNotNull(), F.array_repeat(marker_type, F.greatest(F.coalesce(count, F.lit(0)), F.lit(1)))).otherwise(none)
+    stored = F.coalesce(kinds, none)
+    return F.when(F.size(stored) > 0, stored).when(F.size(read) > 0, read).otherwise(repeated)
+
+
+def run_grammar(of_run: Column, has_sentences: Column, current: Column) -> Column:
+    """The grammar by which a project is exported (R2): the one its sentences were read by, the legacy one if none is known, else the current one."""
+    return F.coalesce(of_run, F.when(has_sentences, F.lit("legacy")), current)
+
+
 #: Parentheticals of search tokens and identifiers alone, as one pattern of the JVM.
 _ID = r"(?:REFS?|(?:PMIDs?|PubMed IDs?)\s*:?\s*\d{1,9}|PMC\s?\d{4,9})"
 NATIVE = rf"\(({_ID}(?:\s*[;,]\s*{_ID})*)\.?\)"

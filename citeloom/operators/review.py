@@ -1,4 +1,4 @@
-"""Selection and review of citations."""
+"""Selection and review of citations."""
 
 from __future__ import annotations
 

@@ -20,7 +20,7 @@ def self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Library rows by the share of keywords in them, the best thirty: F5, H25, B11."""
+    """Library rows by the share of keywords in them, the best thirty: F5, H25."""
     rows = read_table(spark, sf_dir, "references_library")
     ranked = rv.keyword_ranking(rows, KEYWORDS, F.concat_ws(" ", "title", "abstract"))
     return ranked.orderBy(F.desc("score"), "row_id").limit(30).select("row_id", "score", F.array_join("found", " ").alias("found"))

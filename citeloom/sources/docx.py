@@ -163,3 +163,13 @@ def to_docx(text: Column) -> Column:
         return texts.map(lambda t: document_bytes((t or "").split("\n")))
 
     return build(text)
+
+
+def with_field(code: Column, result: Column) -> Column:
+    """A Word file of one paragraph with one field."""
+
+    @F.pandas_udf("binary")
+    def build(codes: pd.Series, results: pd.Series) -> pd.Series:
+        return pd.Series([document_bytes(["text "], None, {0: (c or "", r or "")}) for c, r in zip(codes, results)], dtype="object")
+
+    return build(code, result)
