@@ -61,6 +61,20 @@ def select_passages(passages: Column, most: int = 8, max_chars: int = 6000) -> C
     return F.array_sort(picked["chosen"])
 
 
+def passage_places(passages: Column, most: int = 8, max_chars: int = 6000) -> Column:
+    """The places of the passages that `select_passages` takes, from an array of (score, idx, n) with their lengths n."""
+    any_hit = F.exists(passages, lambda p: p["score"] > 0)
+    ranked = F.transform(passages, lambda p: F.struct(F.when(any_hit, -p["score"]).otherwise(0).alias("rank"), p["idx"].alias("idx"), p["n"].alias("n")))
+    picked = F.aggregate(
+        F.array_sort(ranked),
+        F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("chosen")),
+        lambda acc, p: F.when(
+            (F.size(acc["chosen"]) < most) & (acc["total"] + p["n"] <= max_chars), F.struct((acc["total"] + p["n"]).alias("total"), F.concat(acc["chosen"], F.array(p["idx"].cast("int"))).alias("chosen"))
+        ).otherwise(acc),
+    )
+    return picked["chosen"]
+
+
 def normalised(text: Column) -> Column:
     """Words in lower case, apart by one space."""
     return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))

@@ -22,14 +22,18 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return lines.select("doc_id", "para_index", F.btrim("text").alias("text"))
 
 
-def is_heading(text: Column) -> Column:
-    """A short line without closing punctuation that starts with a capital (documents of plain text have no styles)."""
+def is_heading(text: Column, style: Column | None = None) -> Column:
+    """Whether a paragraph is a heading (B3): styled as one, under 80 characters and without a closing full stop.
+
+    Plain text has no styles; there a short line is one that starts with a capital and has no closing punctuation."""
+    if style is not None:
+        return F.coalesce(style, F.lit("")).startswith("Heading") & (F.length(text) < 80) & ~text.rlike(r"\.\s*$")
     return (F.length(text) > 0) & (F.length(text) < 30) & ~text.rlike(r"[.!?,;:]$") & text.rlike(r"^[A-Z]") & ~text.rlike(r"\d")
 
 
 def fill_sections(paras: DataFrame) -> DataFrame:
-    """Paragraphs with the last heading before them; headings themselves are left out."""
-    heading = is_heading(F.col("text"))
+    """Paragraphs with the last heading before them, by their style where they have one; headings themselves are left out."""
+    heading = is_heading(F.col("text"), F.col("style") if "style" in paras.columns else None)
     upto = Window.partitionBy("doc_id").orderBy("para_index").rowsBetween(Window.unboundedPreceding, 0)
     filled = paras.withColumns({"heading": heading, "section": F.last(F.when(heading, F.col("text")), ignorenulls=True).over(upto)})
     return filled.where(~F.col("heading") & (F.col("text") != "")).select("doc_id", "para_index", F.coalesce("section", F.lit("")).alias("section"), "text")

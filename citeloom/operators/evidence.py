@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.evidence_text import PASSAGE_CHARS, normalised, passage_places
+
 CONFIDENCE = ("LOW", "MEDIUM", "HIGH")
 
 
@@ -102,3 +104,35 @@ def swap_preprints(selected: DataFrame, published: DataFrame) -> DataFrame:
 def document_mode(failed: Column, newer: Column, foreign: Column, tracked: Column, stripped: Column, legacy: Column) -> Column:
     """The first that holds."""
     return F.when(failed, "analysis_failed").when(newer, "newer_version").when(foreign, "foreign").when(tracked, "tracked").when(stripped, "stripped").when(legacy, "legacy").otherwise("fresh")
+
+
+def quoted(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str, size: int = 8, least: float = 0.8) -> DataFrame:
+    """(text_id, quote_id, share, occurs): the share of each quote's windows of ``size`` words that stand in a text.
+
+    A shorter quote is one window, so all of it must stand there. Windows are compared as 64-bit hashes of their words, and
+    a text's window counts once. Quotes and texts without a word give no row."""
+    words = lambda df, key: df.select(key, F.split(normalised(F.col("text")), " ").alias("w")).where("w[0] <> ''")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
+    q = words(quotes, quote_id).withColumn("size", F.least(F.size("w"), F.lit(size)))
+    q = q.withColumn("n", F.size("w") - F.col("size") + 1).select(quote_id, "size", "n", F.explode(cut(F.col("size"))).alias("s"))
+    # at most ``size`` different lengths of windows
+    sizes = [r.size for r in q.select("size").distinct().collect()]
+    none = F.array().cast("array<struct<size:int,s:bigint>>")
+    sized = lambda n: lambda s: F.struct(F.lit(n).alias("size"), s.alias("s"))
+    windows = [F.when(F.size("w") >= n, F.transform(F.array_distinct(cut(F.lit(n))), sized(n))).otherwise(none) for n in sizes]
+    t = words(texts, text_id).select(text_id, F.inline(F.concat(*windows) if windows else none))
+    hits = q.join(t, ["size", "s"]).groupBy(text_id, quote_id, "n").agg(F.count(F.lit(1)).alias("hits"))
+    share = F.col("hits") / F.col("n")
+    return hits.select(text_id, quote_id, F.round(share, 6).alias("share"), (share >= least).alias("occurs"))
+
+
+def chosen_passages(scored: DataFrame, key: str, idx: str) -> DataFrame:
+    """(key, idx, section, score, text): the best passages of each document within the budget, cut where they are long.
+
+    ``scored`` has key, idx, section, text and score. Only places, scores and lengths of a document's passages come together;
+    texts join the few that are chosen."""
+    text = F.when(F.length("text") > PASSAGE_CHARS, F.concat(F.rtrim(F.substring("text", 1, PASSAGE_CHARS)), F.lit("…"))).otherwise(F.rtrim("text"))
+    cut = scored.select(key, idx, "section", "score", text.alias("text"))
+    lengths = cut.groupBy(key).agg(F.collect_list(F.struct(F.col("score").cast("int").alias("score"), F.col(idx).alias("idx"), F.length("text").alias("n"))).alias("p"))
+    picked = lengths.select(key, F.explode(passage_places(F.col("p"))).alias(idx))
+    return picked.join(cut, [key, idx]).select(key, F.col(idx).alias("idx"), "section", F.col("score").cast("int").alias("score"), "text")

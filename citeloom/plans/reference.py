@@ -11,6 +11,7 @@ from citeloom.functions import identity as idn
 from citeloom.functions import numbers as num
 from citeloom.operators import documents as doc
 from citeloom.operators import evidence as evd
+from citeloom.operators import flatten
 from citeloom.operators import library as lib
 from citeloom.operators import markers as mk
 from citeloom.operators import numbering as nb
@@ -529,18 +530,17 @@ def entry_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entry_id", "f.authors", "f.title", "f.journal", "f.year", "f.volume", "f.first_page", "doi", "pmid")
 
 
+_WINDOWS = " UNION ALL ".join(f"SELECT doc_id, {k} AS size, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS s FROM d WHERE len(w) >= {k}" for k in range(1, 9))
+
+
 @query(
-    """WITH q AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM eval_items), qs AS (SELECT item_id, len(w) - 7 AS n, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM q WHERE len(w) >= 8),
-d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM d WHERE len(w) >= 8),
-h AS (SELECT doc_id, item_id, n, count(*) AS hits FROM qs JOIN ds USING (s) GROUP BY ALL) SELECT doc_id, item_id, round(hits / n, 6) AS share, hits / n >= 0.8 AS occurs FROM h"""
+    f"""WITH q AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM eval_items), qs AS (SELECT item_id, least(len(w), 8) AS size, len(w) - least(len(w), 8) + 1 AS n, unnest(list_transform(range(1, len(w) - least(len(w), 8) + 2), lambda i: array_to_string(w[i:i + least(len(w), 8) - 1], ' '))) AS s FROM q WHERE w <> ['']),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), ds AS (SELECT DISTINCT * FROM ({_WINDOWS}) WHERE size IN (SELECT size FROM qs) AND s IN (SELECT s FROM qs)),
+h AS (SELECT doc_id, item_id, n, count(*) AS hits FROM qs JOIN ds USING (size, s) GROUP BY ALL) SELECT doc_id, item_id, round(hits / n, 6) AS share, hits / n >= 0.8 AS occurs FROM h"""
 )
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out texts as quotes in documents, by eight-word windows: H23, L6."""
-    windows = lambda t: ev.shingles(F.split(ev.normalised(F.col(t)), " "))
-    quotes = read_table(spark, sf_dir, "eval_items").select("item_id", windows("text").alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("s"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(windows("text"))).alias("s"))
-    hits = quotes.join(docs, "s").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.select("doc_id", "item_id", F.round(F.col("hits") / F.col("n"), 6).alias("share"), (F.col("hits") / F.col("n") >= 0.8).alias("occurs"))
+    """Held-out texts as quotes in documents, by windows of eight words or all of a shorter quote: H23."""
+    return evd.quoted(read_table(spark, sf_dir, "eval_items"), "item_id", read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 _STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({}), '([a-z0-9]+)', 1), lambda x: length(x) >= 3), lambda x: substr(x, 1, 5)))"
@@ -564,9 +564,7 @@ def passage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = doc.fill_sections(doc.paragraphs(read_table(spark, sf_dir, "documents")))
     title = doc.paragraphs(read_table(spark, sf_dir, "documents")).where("para_index = 0").select("doc_id", ev.stems(F.col("text")).alias("wanted"))
     scored = paras.join(title, "doc_id").select("doc_id", "para_index", "section", "text", ev.passage_score(F.col("wanted"), F.col("text"), F.col("section")).alias("score"))
-    # a document's passages are no more than its own row held
-    grouped = scored.groupBy("doc_id").agg(F.collect_list(F.struct("score", F.col("para_index").alias("idx"), "section", "text")).alias("p"))
-    return grouped.select("doc_id", F.inline(ev.select_passages(F.col("p"))))
+    return evd.chosen_passages(scored, "doc_id", "para_index")
 
 
 @query(
@@ -665,27 +663,10 @@ def plan_join_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.marker_plan(markers, slots)
 
 
-@query(
-    """SELECT doc_id, regexp_replace(text, '^\\D*', '') IS NOT NULL AS ok, substr(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), 1, 80) AS sort_key, row_number() OVER (ORDER BY substr(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), 1, 80), doc_id) AS place FROM (SELECT doc_id, min(raw_text) AS text FROM bib_entries WHERE raw_text IS NOT NULL GROUP BY doc_id)"""
-)
-def alphabetic_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First entries of documents in the order of an unnumbered bibliography: F6, H33.
-
-    The place comes from a range-partitioned sort and the sizes of its partitions, never from one task."""
-    rows = read_table(spark, sf_dir, "bib_entries").where("raw_text is not null").groupBy("doc_id").agg(F.min("raw_text").alias("text"))
-    keyed = rows.select("doc_id", F.col("text").isNotNull().alias("ok"), nb.alphabetic_key(F.col("text")).alias("sort_key"))
-    ranged = keyed.repartitionByRange("sort_key", "doc_id").sortWithinPartitions("sort_key", "doc_id").withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("sort_key", "doc_id")))
-    # one row per partition
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return inside.join(before, "part").select("doc_id", "ok", "sort_key", (F.col("before") + F.col("r")).alias("place"))
-
-
 @query(
     """SELECT entry_id, doc_id, sort_key, row_number() OVER (PARTITION BY doc_id ORDER BY sort_key, raw_text, entry_id) AS place FROM (SELECT entry_id, doc_id, raw_text, substr(regexp_replace(lower(raw_text), '[^a-z0-9 ]', '', 'g'), 1, 80) AS sort_key FROM bib_entries WHERE raw_text IS NOT NULL)"""
 )
-def alphabetic_bibliography_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alphabetic_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries of each document with their place in its unnumbered bibliography: F6, H33.
 
     A long bibliography may lie in several range partitions; its places count on from the entries before them."""
@@ -701,7 +682,7 @@ def alphabetic_bibliography_whole(spark: SparkSession, sf_dir: str) -> DataFrame
 
 # ---------------------------------------------------------------- evidence
 
-_VERDICTS = """v AS (SELECT doc_id, CASE marker_id % 5 WHEN 0 THEN 'supports' WHEN 1 THEN 'partial' WHEN 2 THEN 'supports' WHEN 3 THEN 'not_supported' ELSE '' END AS raw, marker_id % 7 <> 0 AS found, marker_id % 3 <> 0 AS quoted, extra_search FROM markers WHERE doc_id % 2 = 0 OR marker_id % 5 <> 3),
+_VERDICTS = """v AS (SELECT doc_id, CASE marker_id % 5 WHEN 0 THEN 'supports' WHEN 1 THEN 'partial' WHEN 2 THEN 'supports' WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'not_supported' ELSE 'partial' END ELSE '' END AS raw, marker_id % 7 <> 0 AS found, marker_id % 3 <> 0 AS quoted, extra_search FROM markers),
 b AS (SELECT *, CASE WHEN raw = 'supports' AND NOT found THEN 'partial' WHEN raw IN ('supports', 'partial', 'not_supported') THEN raw ELSE 'unverified' END AS verdict FROM v)"""
 
 
@@ -714,8 +695,8 @@ concat_ws(',', CASE WHEN failing THEN 'not_supported' END, CASE WHEN invented_on
 def verdict_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of a document's citations folded into its confidence: L4, L5, D16. The verdicts are derived from ids, as answers have no source."""
     m = F.col("marker_id")
-    rows = read_table(spark, sf_dir, "markers").where("doc_id % 2 = 0 or marker_id % 5 <> 3")
-    raw = F.when(m % 5 == 3, "not_supported").when(m % 5 == 1, "partial").when(m % 5 == 4, "").otherwise("supports")
+    rows = read_table(spark, sf_dir, "markers")
+    raw = F.when((m % 5 == 3) & (F.col("doc_id") % 2 == 0), "not_supported").when((m % 5).isin(1, 3), "partial").when(m % 5 == 4, "").otherwise("supports")
     v = rows.select("doc_id", F.struct(evd.backed_verdict(raw, m % 7 != 0).alias("verdict"), (m % 3 != 0).alias("has_quote"), (m % 7 != 0).alias("quote_found")).alias("v"))
     # equal verdicts are merged first, so a document's array holds at most a dozen
     grouped = v.distinct().groupBy("doc_id").agg(F.collect_list("v").alias("vs"))
@@ -763,27 +744,33 @@ def export_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(reasons, ",").alias("reasons"))
 
 
+_OBJECT = "nullif(regexp_extract({0}, '(?s)(\\{{.*\\}})', 1), '')"
+_PLAIN = "replace(replace(replace(replace(replace(replace(replace(payload, '&quot;', '\"'), '&#34;', '\"'), '&#39;', chr(39)), '&apos;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_WHOLE = f"coalesce(json_valid({_OBJECT.format('payload')}), false) OR coalesce(CASE WHEN trim(payload) LIKE '\"%' AND json_valid(trim(payload)) THEN json_valid({_OBJECT.format('(CAST(trim(payload) AS JSON) ->> chr(36))')}) END, false) OR (contains(payload, '&quot;') AND coalesce(json_valid({_OBJECT.format(_PLAIN)}), false))"
+
+
 @query(
-    """WITH r AS (SELECT payload_id, doc_id, citation_id, payload, row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY payload_id) AS copy_no FROM cite_payloads)
-SELECT payload_id, 'duplicate' AS issue FROM r WHERE citation_id <> '' AND copy_no > 1 UNION ALL SELECT payload_id, 'empty' FROM r WHERE payload IS NULL OR NOT contains(payload, '{') UNION ALL SELECT payload_id, 'no id' FROM r WHERE coalesce(citation_id, '') = ''"""
+    f"""WITH r AS (SELECT payload_id, doc_id, citation_id, payload, row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY payload_id) AS copy_no, coalesce({_WHOLE}, false) AS whole FROM cite_payloads)
+SELECT payload_id, 'duplicate' AS issue FROM r WHERE citation_id <> '' AND copy_no > 1 UNION ALL SELECT payload_id, CASE WHEN contains(coalesce(payload, ''), '{{') THEN 'damaged' ELSE 'empty' END FROM r WHERE NOT whole UNION ALL SELECT payload_id, 'no id' FROM r WHERE coalesce(citation_id, '') = ''"""
 )
 def reconcile_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of stored citation payloads: K10, E12."""
-    rows = read_table(spark, sf_dir, "cite_payloads").select("payload_id", "doc_id", "citation_id", "payload")
+    """Issues of stored citation payloads, which are parsed: A25, E12."""
+    rows = read_table(spark, sf_dir, "cite_payloads").select("payload_id", "doc_id", "citation_id", "payload", flatten.json_in_text(F.col("payload")).isNull().alias("broken"))
     numbered = rows.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id", "citation_id").orderBy("payload_id")))
-    issues = F.array_compact(F.array(F.when((F.col("citation_id") != "") & (F.col("copy_no") > 1), "duplicate"), F.when(F.col("payload").isNull() | ~F.contains("payload", F.lit("{")), "empty"), F.when(F.coalesce("citation_id", F.lit("")) == "", "no id")))
+    empty = ~F.coalesce(F.contains("payload", F.lit("{")), F.lit(False))
+    issues = F.array_compact(F.array(F.when((F.col("citation_id") != "") & (F.col("copy_no") > 1), "duplicate"), F.when(F.col("broken"), F.when(empty, "empty").otherwise("damaged")), F.when(F.coalesce("citation_id", F.lit("")) == "", "no id")))
     return numbered.select("payload_id", F.explode(issues).alias("issue"))
 
 
 @query(
-    """WITH n AS (SELECT max(ts) AS now FROM events), f AS (SELECT user_id || '|' || event_type AS key, event_id, ts FROM events, n WHERE ts >= now - INTERVAL 30 DAYS), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS r FROM f) SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM r WHERE r = 1"""
+    """WITH n AS (SELECT max(ts) AS now FROM events), f AS (SELECT user_id || '|' || event_type AS key, event_id, ts FROM events, n WHERE ts >= now - INTERVAL 30 DAYS), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS r FROM f) SELECT key, event_id AS value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM r WHERE r = 1"""
 )
 def cache_ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live entry of each cache key: A23, I2, H42."""
     events = read_table(spark, sf_dir, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), F.col("event_id").alias("value"), "ts")
     now = events.agg(F.max("ts")).first()[0]
     live = stores.live_cache(events, F.lit(now))
-    return live.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return live.select("key", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 # ---------------------------------------------------------------- sources
@@ -794,6 +781,11 @@ _NAMES_SQL = "array_to_string(list_transform(coalesce(authors, []), lambda a: tr
 _SPACED = "trim(regexp_replace(coalesce(title, ''), '[\\s\\x{00A0}]+', ' ', 'g'))"
 
 
+_ONE_LINE = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
+_RIS_PMID = f"CASE WHEN regexp_matches({_ONE_LINE.format('pmid')}, '^\\d+$') THEN {_ONE_LINE.format('pmid')} ELSE regexp_extract({_ONE_LINE.format('pmid')}, '\\b(\\d{{7,9}})\\b', 1) END"
+_RIS_PAGES = "concat_ws('-', nullif(trim(split_part(coalesce(pages, ''), '-', 1)), ''), nullif(trim(split_part(coalesce(pages, ''), '-', 2)), ''))"
+
+
 def _spaced(c: str) -> F.Column:
     return F.btrim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\s\x{00A0}]+", " "))
 
@@ -802,12 +794,12 @@ def _names(c: str) -> F.Column:
     return F.array_join(F.transform(c, lambda a: F.concat_ws(", ", F.nullif(a["last_name"], F.lit("")), F.nullif(a["first_name"], F.lit("")))), "; ")
 
 
-@query(f"""SELECT row_id, {_SPACED} AS title, {_NAMES_SQL} AS authors, coalesce(year, 0) AS year, coalesce(journal, '') AS journal FROM references_library WHERE {_SPACED} <> ''""")
+@query(f"""SELECT row_id, {_SPACED} AS title, {_NAMES_SQL} AS authors, coalesce(year, 0) AS year, coalesce(journal, '') AS journal, {_ONE_LINE.format('doi')} AS doi, {_RIS_PMID} AS pmid, {_RIS_PAGES} AS pages FROM references_library WHERE {_SPACED} <> ''""")
 def parse_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Library rows written as RIS and read again: A7, A8, H28, H34."""
     c = F.col
-    files = read_table(spark, sf_dir, "references_library").where(_spaced("title") != "").select("row_id", records.to_ris(_spaced("title"), c("authors"), c("year"), c("journal"), F.lit(""), F.lit(""), F.lit("")).alias("text"))
-    return records.ris_candidates(files, "row_id", "text").select("row_id", "title", _names("authors").alias("authors"), "year", "journal")
+    files = read_table(spark, sf_dir, "references_library").where(_spaced("title") != "").select("row_id", records.to_ris(_spaced("title"), c("authors"), c("year"), c("journal"), c("doi"), c("pmid"), c("pages")).alias("text"))
+    return records.ris_candidates(files, "row_id", "text").select("row_id", "title", _names("authors").alias("authors"), "year", "journal", "doi", "pmid", "pages")
 
 
 @query(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _TEXT = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
 RUNS = "para_index int, run_index int, style string, text string, superscript boolean, deleted boolean, inserted boolean"
+PARAGRAPHS = "para_index int, style string, text string"
 FIELDS = "ord int, code string, result_text string, depth int, complete boolean, para_first int, para_last int"
 
 
@@ -68,6 +69,16 @@ def scan_runs(data: bytes) -> list[tuple]:
     return out
 
 
+def scan_paragraphs(data: bytes) -> list[tuple]:
+    """Rows of `PARAGRAPHS`: the runs of each paragraph as one text, deleted ones left out."""
+    texts: dict[int, list[str]] = {}
+    styles: dict[int, str] = {}
+    for p, _, style, text, _, deleted, _ in scan_runs(data):
+        styles.setdefault(p, style)
+        texts.setdefault(p, []).append("" if deleted else text)
+    return [(p, styles[p], "".join(ts)) for p, ts in texts.items()]
+
+
 def scan_fields(data: bytes) -> list[tuple]:
     """Rows of `FIELDS`: a stack over begin, separate and end marks; one that never ends stays incomplete."""
     body = _body(data)
@@ -117,10 +128,8 @@ def fields(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def paragraphs(df: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, para_index, style, text) of Word files without deleted runs."""
-    seen = F.array_sort(F.collect_list(F.when(~F.col("deleted"), F.struct("run_index", "text"))))
-    grouped = runs(df, key, content).groupBy(key, "para_index").agg(F.first("style").alias("style"), seen.alias("_r"))
-    return grouped.select(key, "para_index", "style", F.array_join(F.transform("_r", lambda r: r["text"]), "").alias("text"))
+    """(key, para_index, style, text) of Word files without deleted runs, put together where a file is read."""
+    return _scan(df, key, content, scan_paragraphs, PARAGRAPHS)
 
 
 def field_kind(code: Column, own: str = "CITE") -> Column:

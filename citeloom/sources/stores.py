@@ -17,9 +17,9 @@ PROJECT_VERSION = 2
 
 
 def live_cache(cache: DataFrame, now: Column, days: int = TTL_DAYS) -> DataFrame:
-    """The last value of each key that has not expired (key, value, ts)."""
+    """The last value of each key that has not expired (key, value, ts); of equal times the greatest value."""
     fresh = cache.where(F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS"))
-    return fresh.groupBy("key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+    return fresh.groupBy("key").agg(F.max(F.struct("ts", "value")).alias("_l")).select("key", "_l.value", "_l.ts")
 
 
 def stable_id(*parts: Column) -> Column:

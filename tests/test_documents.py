@@ -132,3 +132,39 @@ def test_passages_skip_what_does_not_fit(spark):
 def test_snippet_has_ellipses(spark):
     r = spark.range(1).select(doc.snippet(F.lit("abc " * 20), F.lit(40), F.lit(3), 20).alias("s")).first().s
     assert r.startswith("…") and r.endswith("…") and len(r) <= 22
+
+
+def test_headings_by_style(spark):
+    from citeloom.operators import documents as dc
+
+    rows = [(1, 0, "Heading1", "A title of 12 words, which plain text could not tell from a line"), (1, 1, "", "Body one"), (1, 2, "Heading2", "Ends with a stop."), (1, 3, "Heading2", "x" * 80), (1, 4, None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, para_index int, style string, text string")
+    got = [(r.para_index, r.section) for r in dc.fill_sections(df).orderBy("para_index").collect()]
+    assert got == [(i, rows[0][3]) for i in (1, 2, 3)]
+
+
+def test_chosen_passages_are_those_of_the_whole_arrays(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from citeloom.functions import evidence_text as ev
+    from citeloom.operators import evidence as evd
+
+    rng = random.Random(6)
+    rows = [(d, i, "S", "w" * rng.choice([10, 700, 1500, 5000]) + " ", rng.randrange(3) if d % 2 else 0) for d in range(6) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, para_index int, section string, text string, score int")
+    whole = df.groupBy("doc_id").agg(F.collect_list(F.struct("score", F.col("para_index").alias("idx"), "section", "text")).alias("p")).select("doc_id", F.inline(ev.select_passages(F.col("p"))))
+    got = evd.chosen_passages(df, "doc_id", "para_index")
+    assert sorted(map(tuple, got.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_quotes_of_any_length(spark):
+    from citeloom.operators import evidence as evd
+
+    long = "one two three four five six seven eight nine ten"
+    quotes = spark.createDataFrame([(1, "Three, four FIVE."), (2, long), (3, ""), (4, None), (5, "five three")], "q long, text string")
+    texts = spark.createDataFrame([(1, f"zero {long} eleven"), (2, "one two three four five six seven eight ten nine"), (3, None), (4, "")], "t long, text string")
+    got = {(r.t, r.q): (r.share, r.occurs) for r in evd.quoted(quotes, "q", texts, "t").collect()}
+    assert got == {(1, 1): (1.0, True), (1, 2): (1.0, True), (2, 1): (1.0, True), (2, 2): (0.333333, False)}
+    assert evd.quoted(quotes.where("false"), "q", texts, "t").count() == 0

@@ -111,5 +111,5 @@ def test_whole_alphabetic_bibliography_places_every_entry(spark, tmp_path):
     from citeloom.plans import catalogue
 
     spark.createDataFrame([(1, 7, "Cee"), (2, 7, "Aye"), (3, 7, "Bee"), (4, 7, "Aye"), (5, 8, "Zed"), (6, 8, None)], "entry_id long, doc_id long, raw_text string").write.parquet(f"{tmp_path}/bib_entries.parquet")
-    got = catalogue.QUERIES["alphabetic_bibliography_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["alphabetic_bibliography"](spark, str(tmp_path)).collect()
     assert {(r.entry_id, r.place) for r in got} == {(2, 1), (4, 2), (3, 3), (1, 4), (5, 1)}
