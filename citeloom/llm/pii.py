@@ -34,14 +34,13 @@ GIVEN_NAMES = (
     "michael miguel mohamed mohammed monika mustafa natalia natasha nguyen nicolas nikolai noor olga olivia omar pablo patricia patrick paul pedro peter philip pierre "
     "priya rachel rahul rania ravi richard roberto samuel sanjay sara sergei sofia stefan susan sven takashi tatiana thomas tomasz vladimir yasmin yuki yusuf zainab"
 ).split()
-#: Words of which an address is known.
-STREET_WORDS = (
-    "street road avenue lane close court drive place square terrace crescent gardens grove mews".split()
-    + [" st", " rd", " ave", " ln", " ct", " dr", "straße", "strasse", "str.", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm "]
-    + ["am ", "an der ", "im ", "zum ", "zur "]
-    + ["rue ", "boulevard ", "bd. ", "bd ", "chemin ", "impasse ", "quai ", "allée ", "av. "]
-    + ["calle ", "avda", "avenida ", "plaza ", "paseo ", "camino "]
-)
+#: Words of which an address is known, by the language whose addresses they are of.
+STREET_WORDS = {
+    "en": "street road avenue lane close court drive place square terrace crescent gardens grove mews".split() + [" ave", " st", " rd", " ln", " ct", " dr"],
+    "de": ["straße", "strasse", "str.", "weg ", "gasse ", "allee ", "platz ", "ufer ", "damm ", "am ", "an der ", "auf dem ", "im ", "zum ", "zur "],
+    "fr": ["rue ", "avenue ", "av. ", "boulevard ", "bd. ", "bd ", "chemin ", "place ", "allée ", "impasse ", "quai ", "route "],
+    "es": ["calle ", "c/ ", "avda", "avenida ", "plaza ", "paseo ", "camino "],
+}
 #: What follows a name that belongs to an institute, a test or a place and not to a person.
 NAMESAKES = "institute|institut|instituto|university|college|hospital|clinic|foundation|centre|center|wing|ward|building|library|laboratory|lab|labs|test|score|scale|index|syndrome|disease|method|reaction|stain|group|consortium|network|award|prize|lecture|street|road|avenue|lane"
 #: Chinese two-character family names, and words after which a Chinese name stands.
@@ -60,7 +59,15 @@ ID_CUES = (
 SHAPES = ("+0", "(000)", "000-000-0000", "000.000.0000", "000-00-0000", "000 00 0000", "00000 000", "00000000", "000 000", "000/0000", "00.00.00-000", "000-0000", "00 00 00", "000000")
 #: Schemes of links that carry an address.
 SCHEMES = ("mailto:", "tel:", "sip:")
-_ZERO = {c: "0" for c in range(0x31, 0x3A)}
+_ZERO = bytes.maketrans(b"123456789", b"000000000")
+_DIGIT = re.compile(r"\d")
+
+
+def _zeroed(text: str) -> str:
+    """``text`` with every ASCII digit as 0."""
+    return text.encode("utf-8", "surrogatepass").translate(_ZERO).decode("utf-8", "surrogatepass")
+
+
 
 _LETTER = r"[^\W\d_]"
 _PARTICLES = r"(?:(?:van der|van den|van de|van|von|zu|de la|de|della|del|di|da|la|le)\s)*"
@@ -120,25 +127,25 @@ _PHONE_CUE = re.compile(r"(?:phone|tel|tél|mobile|call|ring|fax|电话|電話|
 
 _TOWN = r"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ]?[\w'’]+)*"
 _POSTAL = rf"(?:,[ \n]\d{{4,5}}[ \n]{_TOWN})?"
-_ADDRESSES = [
-    re.compile(
+_ADDRESSES = {
+    "en": re.compile(
         r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s\w+,\s)?(?<![\w.])\d{1,4}[A-Za-z]?\s(?:(?:St|Mt)\.\s)?(?:[A-Z][\w'’\-]+\s){1,3}"
         r"(?:(?:Street|Road|Avenue|Lane|Close|Court|Drive|Place|Square|Terrace|Crescent|Gardens|Grove|Mews)\b|Ave\.|(?:Ave|St|Rd|Ln|Ct|Dr)\b(?:\.(?=[,.]))?)"
         rf"(?:,\s{_TOWN}(?:,?\s[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s\d[A-Z]{{2}})?)?"
     ),
-    re.compile(
+    "de": re.compile(
         r"(?<!\w)(?:(?:Am|An der|Auf dem|Im|Zum|Zur)\s[A-ZÄÖÜ][\wäöüß]+|(?:Obere|Untere|Alte|Neue|Große|Kleine|Lange|Hintere|Vordere)\s(?:Gasse|Straße|Allee)"
         r"|[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm))\s\d{1,4}\s?[a-z]?\b" + _POSTAL
     ),
-    re.compile(
+    "fr": re.compile(
         r"(?<![\w.])\d{1,4}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|av\.|boulevard|bd\.?|chemin|place|allée|impasse|quai|route)\s(?:de la |de l['’]|des |du |de |d['’])?"
         rf"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ]?[\w'’]+)*{_POSTAL}"
     ),
-    re.compile(
+    "es": re.compile(
         r"(?<!\w)(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino)\s(?:de la |de los |de las |del |de )?[A-ZÀ-Þ][\w'’]+(?:\s[A-ZÀ-Þ][\w'’]+)*,\s\d{1,4}"
         rf"(?:,\s\d{{1,2}}\.?[ºª°](?:\s[A-Z])?)?{_POSTAL}"
     ),
-]
+}
 
 Span = tuple[int, int, str]
 
@@ -151,7 +158,7 @@ class Finder:
 
         self.automaton = ahocorasick.Automaton()
         anchors: dict[str, list[str]] = {}
-        groups = {"given": given, "street": STREET_WORDS, "at": _AT_FORMS, "cue": NAME_CUES.split("|") + COMPOUND_NAMES.split("|"), "title": TITLES, "id": ID_CUES, "shape": SHAPES, "scheme": SCHEMES}
+        groups = {"given": given, **STREET_WORDS, "at": _AT_FORMS, "cue": NAME_CUES.split("|") + COMPOUND_NAMES.split("|"), "title": TITLES, "id": ID_CUES, "shape": SHAPES, "scheme": SCHEMES}
         for kind, words in groups.items():
             for word in words:
                 anchors.setdefault(word, []).append(kind)
@@ -165,12 +172,12 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):  # a few letters have a lower case of two
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        by_kind: dict[str, list[tuple[int, int]]] = {k: [] for k in ("street", "at", "given", "cue", "title", "id", "shape", "scheme")}
-        for end, (kinds, n) in self.automaton.iter(low.translate(_ZERO)):
+        by_kind: dict[str, list[tuple[int, int]]] = {k: [] for k in (*STREET_WORDS, "at", "given", "cue", "title", "id", "shape", "scheme")}
+        for end, (kinds, n) in self.automaton.iter(_zeroed(low)):
             for kind in kinds:
                 by_kind[kind].append((end + 1 - n, end + 1))
         emails = [s for a in by_kind["at"] if (s := self._email(text, low, *a))] + [s for a in by_kind["scheme"] if (s := self._scheme(text, *a))]
-        addresses = self._addresses(text, by_kind["street"])
+        addresses = [s for language in STREET_WORDS for s in self._addresses(text, by_kind[language], _ADDRESSES[language])]
         numbers = self._numbers(text, sorted(by_kind["shape"])) + [s for a in by_kind["id"] if (s := self._cued_id(text, low, *a))]
         found = _disjoint([emails, addresses, numbers])
         taken = _Taken(found)
@@ -205,18 +212,20 @@ class Finder:
             return None
         return local.start(), stop, "email"
 
-    def _addresses(self, text: str, anchors: list[tuple[int, int]]) -> list[Span]:
+    def _addresses(self, text: str, anchors: list[tuple[int, int]], pattern: re.Pattern) -> list[Span]:
         out: list[Span] = []
         done = -1
         for start, end in anchors:
-            if start < done:
-                continue
+            # an address has a house number
             lo, hi = max(0, start - 200), min(len(text), end + 200)
-            for pattern in _ADDRESSES:
-                for m in pattern.finditer(text, lo, hi):
-                    if m.start() <= start + 1 and end - 1 <= m.end() + 1:
-                        out.append((m.start(), m.end(), "address"))
-                        done = m.end()
+            if start < done or not _DIGIT.search(text, lo, hi):
+                continue
+            for m in pattern.finditer(text, lo, hi):
+                if m.start() <= start + 1 and end - 1 <= m.end() + 1:
+                    out.append((m.start(), m.end(), "address"))
+                    done = m.end()
+                if m.start() > end:
+                    break
         return out
 
     def _scheme(self, text: str, start: int, end: int) -> Span | None:
@@ -233,10 +242,13 @@ class Finder:
         for start, end in anchors:
             if end <= done:
                 continue
-            for at in range(max(done, start - 8), start + 1):
-                if (m := _NUMBERS.match(text, at)) and m.end() >= end:
-                    break
-            else:
+            # bare digits are a number of interest only behind letters, or as a mobile number
+            if text[start:end].isdigit() and not text.startswith("07", start):
+                before = text[start - 1] if start else ""
+                if not ("A" <= before <= "Z" or (before in " -" and start > 1 and "A" <= text[start - 2] <= "Z")):
+                    continue
+            m = _NUMBERS.search(text, max(done, start - 8), end + 64)
+            if not m or m.start() > start or m.end() < end:
                 continue
             done = m.end()
             kind, b, e = m.lastgroup, m.start(), m.end()
