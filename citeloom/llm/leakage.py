@@ -37,51 +37,80 @@ VOCABULARY_BYTES = 32 << 20
 _BRACKETS = re.compile(r"\[\d[\d,;\s–-]*\]|\(([^()]*)\)")
 _SURE = re.compile(r"refs?$|pmid|pmc\d|\bdoi\b|\b10\.\d{4}|\bet\s+al\b.*\b(?:19|20)\d\d[a-z]?\b", re.DOTALL)
 _YEAR = re.compile(r"\b(?:19|20)\d\d[a-z]?\b")
-_BROKEN = re.compile(r"([^\W_]+)[-‐‑­]\s*\n\s*([^\W_]+)")
+_BREAK = re.compile(r"(?<=[^\W_])[-‐‑­]\s*\n\s*(?=[^\W_])")
 _INNER = re.compile(r"(?<=\w)['’­​](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def readings(text: str | None) -> list[str]:
-    """``text`` in lower case without citation markers; a second time where brackets with a year may be markers or not.
+_MARK = "\ue000"
+_WORD_OR_MARK = re.compile(rf"[^\W_]+|{_MARK}")
+Reading = tuple[list[str], list[bool] | None]
+
+
+def readings(text: str | None, known: Container[str] | None = None) -> list[Reading]:
+    """The words of ``text`` as they are compared, without citation markers; a second time where brackets with a year may be markers or not.
 
     Numbers in square brackets, identifiers, search tokens and author-year citations with "et al." are markers for
-    certain. Other brackets with a year are dropped in the first reading and kept in the second."""
+    certain. Other brackets with a year are dropped in the first reading and kept in the second, which also tells which of
+    its words stand in such brackets: windows without any of them are those of the first reading. A word broken at a line
+    end is joined, unless only its parts are ``known``."""
     low = (text or "").lower()
-    if "(" not in low and "[" not in low:
-        return [low]
-    doubtful = False
+    kept: list[list[str]] = []
+    if "(" in low or "[" in low:
+
+        def drop(m: re.Match) -> str:
+            inner = m[1]
+            if inner is None or _SURE.search(inner):
+                return " "
+            if not _YEAR.search(inner):
+                return m[0]
+            kept.append(_words(inner, known))
+            return f" {_MARK} "
+
+        low = _BRACKETS.sub(drop, low.replace(_MARK, " "))
+    if not kept:
+        return [(_words(low, known), None)]
+    tokens = _WORD_OR_MARK.findall(_joined_lines(low, known))
+    words, inside, bracket = [], [], iter(kept)
+    for t in tokens:
+        more = next(bracket) if t == _MARK else [t]
+        words += more
+        inside += [t == _MARK] * len(more)
+    return [([t for t in tokens if t != _MARK], None), (words, inside)]
+
+
+def _joined_lines(low: str, known: Container[str] | None) -> str:
+    """Without apostrophes and the like inside words, and with words that are broken at line ends as one or two."""
+    if "\n" in low:
 
-    def drop(m: re.Match, years: bool) -> str:
-        nonlocal doubtful
-        inner = m[1]
-        if inner is None or _SURE.search(inner):
-            return " "
-        if not _YEAR.search(inner):
-            return m[0]
-        doubtful = True
-        return " " if years else m[0]
+        def join(m: re.Match) -> str:
+            if known is None:
+                return ""
+            a, b = _parts(low, m)
+            return " " if a + b not in known and a in known and b in known else ""
 
-    first = _BRACKETS.sub(lambda m: drop(m, True), low)
-    return [first, _BRACKETS.sub(lambda m: drop(m, False), low)] if doubtful else [first]
+        low = _BREAK.sub(join, low)
+    return _INNER.sub("", low)
 
 
-def words_of(reading: str, known: Container[str] | None = None) -> list[str]:
-    """The words of a reading as they are compared. A word broken at a line end is joined, unless only its parts are known."""
-    if "\n" in reading:
+def _parts(low: str, m: re.Match) -> tuple[str, str]:
+    """The letters and digits on both sides of a break."""
+    start, end = m.start(), m.end()
+    while start and low[start - 1].isalnum():
+        start -= 1
+    while end < len(low) and low[end].isalnum():
+        end += 1
+    return low[start : m.start()], low[m.end() : end]
 
-        def join(m: re.Match) -> str:
-            a, b = m[1], m[2]
-            apart = known is not None and a + b not in known and a in known and b in known
-            return f"{a} {b}" if apart else a + b
 
-        reading = _BROKEN.sub(join, reading)
-    return _WORD.findall(_INNER.sub("", reading))
+def _words(low: str, known: Container[str] | None) -> list[str]:
+    return _WORD.findall(_joined_lines(low, known))
 
 
 def broken_words(text: str) -> list[str]:
     """Both parts and the joined form of each word of ``text`` that is broken at a line end."""
-    return sorted({w for r in readings(text) for m in _BROKEN.finditer(r) for w in (m[1], m[2], m[1] + m[2])})
+    low = text.lower()
+    return sorted({w for m in _BREAK.finditer(low) for a, b in [_parts(low, m)] for w in (a, b, a + b)})
 
 
 def word_code(word: str) -> int:
@@ -147,18 +176,28 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, w]
 
 
-def window_starts(owner: np.ndarray, window: int, foreign: np.ndarray | None, most: int) -> np.ndarray:
-    """Where windows of consecutive words of one owner begin, with at most ``most`` of the ``foreign`` words if those are given."""
+def window_starts(owner: np.ndarray, window: int, foreign: np.ndarray | None, most: int, wanted: np.ndarray | None) -> np.ndarray:
+    """Where windows of consecutive words of one owner begin, with at most ``most`` of the ``foreign`` words and at least one of
+    the ``wanted`` ones, if those are given."""
     n = len(owner) - window + 1
     if n <= 0:
         return np.empty(0, np.int64)
     keep = owner[:n] == owner[window - 1 :]
-    if foreign is not None:
-        upto = np.concatenate([[0], np.cumsum(foreign)])
-        keep &= upto[window:] - upto[:-window] <= most
+    for words, least, top in ((foreign, 0, most), (wanted, 1, window)):
+        if words is not None:
+            upto = np.concatenate([[0], np.cumsum(words)])
+            held = upto[window:] - upto[:-window]
+            keep &= (held >= least) & (held <= top)
     return np.flatnonzero(keep)
 
 
+def wanted_words(read: list[tuple[int, Reading]]) -> np.ndarray | None:
+    """Which words a window must hold one of: any of first readings, those in brackets of second ones."""
+    if all(inside is None for _, (_, inside) in read):
+        return None
+    return np.concatenate([np.ones(len(ws), bool) if inside is None else np.array(inside, bool) for _, (ws, inside) in read])
+
+
 def owners(words: list[list[str]]) -> np.ndarray:
     return np.repeat(np.arange(len(words)), [len(ws) for ws in words]) if words else np.empty(0, np.int64)
 
@@ -167,12 +206,12 @@ class ItemIndex:
     """The windows of all items, sorted by bucket in each table."""
 
     def __init__(self, items: list[tuple[int, str | None]], cgk: Cgk):
-        read = [(i, words_of(r)) for i, t in items for r in readings(t)]
-        self.codes = {w: word_code(w) for _, ws in read for w in ws}
-        flat = np.array([self.codes[w] for _, ws in read for w in ws], np.int64)
-        owner = owners([ws for _, ws in read])
+        read = [(i, r) for i, t in items for r in readings(t)]
+        self.codes = {w: word_code(w) for _, (ws, _) in read for w in ws}
+        flat = np.array([self.codes[w] for _, (ws, _) in read for w in ws], np.int64)
+        owner = owners([ws for _, (ws, _) in read])
         self.cgk = cgk
-        starts = window_starts(owner, cgk.window, None, 0)
+        starts = window_starts(owner, cgk.window, None, 0, wanted_words(read))
         self.windows = flat[starts[:, None] + np.arange(cgk.window)]
         self.item = np.array([i for i, _ in read], np.int64)[owner[starts]]
         buckets = cgk.buckets(self.windows)
@@ -188,11 +227,11 @@ class ItemIndex:
         """(doc, item, least edits) for a batch of documents."""
         if not len(self.windows):
             return []
-        read = [(d, words_of(r, self.codes)) for d, t in docs for r in readings(t)]
-        words = [w for _, ws in read for w in ws]
+        read = [(d, r) for d, t in docs for r in readings(t, self.codes)]
+        words = [w for _, (ws, _) in read for w in ws]
         codes = np.array([self.codes.get(w, 0) for w in words], np.int64)
-        owner, window = owners([ws for _, ws in read]), self.cgk.window
-        starts = window_starts(owner, window, codes == 0, self.cgk.edits)
+        owner, window = owners([ws for _, (ws, _) in read]), self.cgk.window
+        starts = window_starts(owner, window, codes == 0, self.cgk.edits, wanted_words(read))
         if not len(starts):
             return []
         at = starts[:, None] + np.arange(window)
@@ -254,7 +293,7 @@ def _vocabulary(items: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({w for r in readings(t) for w in words_of(r)}))
+        return texts.map(lambda t: sorted({w for ws, _ in readings(t) for w in ws}))
 
     return items.where("text is not null").select(F.explode(words("text")).alias("word")).distinct()
 
@@ -294,10 +333,10 @@ def _joined(docs: DataFrame, items: DataFrame, cgk: Cgk) -> DataFrame:
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                read = [(i, words_of(r, None if k is None else frozenset(k))) for i, t, k in zip(pdf["id"], pdf["text"], pdf["known"]) for r in readings(t)]
-                codes = np.array([word_code(w) for _, ws in read for w in ws], np.int64)
-                owner = owners([ws for _, ws in read])
-                starts = window_starts(owner, cgk.window, ~np.isin(codes, vocabulary) if skip else None, cgk.edits)
+                read = [(i, r) for i, t, k in zip(pdf["id"], pdf["text"], pdf["known"]) for r in readings(t, None if k is None else frozenset(k))]
+                codes = np.array([word_code(w) for _, (ws, _) in read for w in ws], np.int64)
+                owner = owners([ws for _, (ws, _) in read])
+                starts = window_starts(owner, cgk.window, ~np.isin(codes, vocabulary) if skip else None, cgk.edits, wanted_words(read))
                 if not len(starts):
                     continue
                 wins, ids = codes[starts[:, None] + np.arange(cgk.window)], np.array([i for i, _ in read], np.int64)[owner[starts]]

@@ -62,7 +62,7 @@ def test_both_paths_agree_on_broken_words_and_near_copies(spark):
     # a near copy before the exact one agrees with it in every sampled symbol
     cgk, exact = lk.Cgk(edits=0), ITEM.split()[:12]
     item = [(1, " ".join(w.strip(",") for w in exact))]
-    plain = lk.words_of(lk.readings(item[0][1])[0])
+    plain = lk.readings(item[0][1])[0][0]
     codes = lambda ws: np.array([[lk.word_code(w) for w in ws]], np.int64)
     near = next(c for k in range(lk.WINDOW) if (cgk.buckets(codes(c := [*plain[:k], "zzz", *plain[k + 1 :]])) == cgk.buckets(codes(plain))).all())
     doc = [(7, " ".join([*near, "between", *plain]))]
