@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Within it, queries run by the plan they begin with.
+
+    For iterative jobs of many small rounds: a checkpoint then keeps how its rows are partitioned, which saves the next
+    round's shuffles, and the driver keeps no successive plans of each query. Such jobs split hot keys by themselves."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
