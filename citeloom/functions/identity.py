@@ -108,6 +108,12 @@ def record_uris(uuid: Column, doi: Column, pmid: Column) -> Column:
     return F.array_compact(F.array(F.when(blank_to_null(uuid).isNotNull(), F.concat(F.lit("record/"), uuid)), F.when(d != "", F.concat(F.lit("https://doi.org/"), d)), F.when(blank_to_null(pmid).isNotNull(), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.btrim(pmid), F.lit("/")))))
 
 
+def identity_from_uris(uris: Column) -> Column:
+    """Record, DOI and PMID from a work's addresses, the first of each kind; '' where there is none."""
+    after = lambda start: F.coalesce(F.try_element_at(F.transform(F.filter(uris, lambda u: F.startswith(u, F.lit(start))), lambda u: F.regexp_replace(F.substring(u, len(start) + 1, 100000), r"/+$", "")), F.lit(1)), F.lit(""))
+    return F.struct(after("record/").alias("uuid"), after("https://doi.org/").alias("doi"), after("https://pubmed.ncbi.nlm.nih.gov/").alias("pmid"))
+
+
 def first_author_year(authors: Column, year: Column) -> Column:
     """A label by first author and year; "et al." from three authors on."""
     y = F.coalesce(year, F.lit(0)).cast("string")

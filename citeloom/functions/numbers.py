@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +109,55 @@ def styles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STYLES, STYLE_SCHEMA)
 
 
+LAYOUT = "struct<prefix:string,suffix:string,delimiter:string,collapse:boolean,superscript:boolean,number_prefix:string,number_suffix:string>"
+
+
+def style_layout(xml: str | None, author_date: bool = False, superscript: bool = False) -> tuple[str, str, str, bool, bool, str, str]:
+    """How a style file lays out citations (A20): affixes and delimiter, whether numbers are collapsed or raised, affixes of each number.
+
+    The affixes of a number are those of all groups around it, where the citation has none. Raised numbers have no
+    affixes. A file that can't be read gives the usual shape."""
+    prefix, suffix, delimiter, collapse, inner = "", "", ",", False, ["", ""]
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    try:
+        cited = next((e for e in ElementTree.fromstring(xml or "").iter() if local(e) == "citation"), None)
+        layout = None if cited is None else next((e for e in cited.iter() if local(e) == "layout"), None)
+        collapse = cited is not None and cited.get("collapse") == "citation-number"
+        if layout is not None:
+            prefix, suffix, delimiter = layout.get("prefix", ""), layout.get("suffix", ""), layout.get("delimiter", ",")
+            superscript = superscript or layout.get("vertical-align") == "sup"
+
+            def around(node: ElementTree.Element) -> list[str] | None:
+                """Affixes from the groups around the number below ``node``, outermost first."""
+                for child in node:
+                    if local(child) == "text" and child.get("variable") == "citation-number":
+                        return [child.get("prefix", ""), child.get("suffix", "")]
+                    if (found := around(child)) is not None:
+                        return [child.get("prefix", "") + found[0], found[1] + child.get("suffix", "")] if local(child) == "group" else found
+                return None
+
+            if not prefix and not suffix:
+                inner = around(layout) or inner
+    except ElementTree.ParseError:
+        prefix, suffix, delimiter = ("", "", ",") if superscript else ("[", "]", ", ")
+    if author_date and not prefix and not suffix:
+        prefix, suffix, delimiter = "(", ")", "; "
+    if superscript:
+        prefix, suffix, inner = "", "", ["", ""]
+    return prefix, suffix, delimiter, collapse, superscript, *inner
+
+
+def style_layouts(xml: Column, author_date: Column, superscript: Column) -> Column:
+    """`style_layout` of a column of style files."""
+
+    @F.pandas_udf(LAYOUT)
+    def read(files: pd.Series, dated: pd.Series, raised: pd.Series) -> pd.DataFrame:
+        rows = [style_layout(x, bool(d), bool(r)) for x, d, r in zip(files, dated, raised)]
+        return pd.DataFrame(rows, columns=["prefix", "suffix", "delimiter", "collapse", "superscript", "number_prefix", "number_suffix"])
+
+    return read(xml, author_date, superscript)
+
+
 def follow_document_shape(style: Column, superscript: Column) -> Column:
     """New numeric citations take the shape that the document already has; author-date styles stay."""
     shape = lambda pre, suf, sep, up: F.struct(

@@ -1,4 +1,4 @@
-"""Selection and review of citations."""
+"""Selection and review of citations."""
 
 from __future__ import annotations
 
@@ -246,3 +246,9 @@ def claim_message(claim: Column, sub_claim: Column, section: Column, preceding:
         "\n", F.concat(F.lit("CLAIM: "), n_refs.cast("string"), F.when(n_refs == 1, " reference").otherwise(" references")), quoted(claim), F.when(F.coalesce(sub_claim, F.lit("")) != "", F.concat(F.lit("Part: "), quoted(sub_claim))),
         line("Section: ", section), line("Preceding: ", many), line("Following: ", F.array_join(F.transform(following, lambda s: quoted(s)), " ")),
     )
+
+
+def review_filters(level: Column, resolved: Column, warnings: Column, kind: Column) -> Column:
+    """Which views of a review show a citation (B7): of low confidence, unresolved, with warnings, suggested by the author."""
+    shown = F.array(F.when(level == "LOW", "low"), F.when(~F.coalesce(resolved, F.lit(False)), "unresolved"), F.when(F.size(warnings) > 0, "warnings"), F.when(kind == "SUGGESTED", "suggested"))
+    return F.array_compact(shown)

@@ -18,6 +18,7 @@ from citeloom.operators import markers as mk
 from citeloom.operators import review as rv
 from citeloom.operators import searching as sch
 from citeloom.operators import tracked as trk
+from citeloom.plans.reference import _ENTRIES, _GROUPS, _HEADS
 from citeloom.session import read_table
 from citeloom.sources import docx, records
 
@@ -592,3 +593,57 @@ def docx_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = docx.fields(rows, "doc_id", "content")
     kinds = fields.groupBy("doc_id").agg(F.first(docx.field_kind(F.col("code"))).alias("kind"))
     return docx.field_problems(fields, "doc_id").join(kinds, "doc_id").select("doc_id", "kind", "n_fields", "incomplete", F.array_join("problems", ",").alias("problems"))
+
+
+_STYLE_ROWS = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in row) + ")" for row in num.STYLES)
+
+
+@query(f"SELECT * FROM (VALUES {_STYLE_ROWS}) AS s(style, prefix, suffix, delimiter, collapse, superscript, author_date, number_prefix, number_suffix)")
+def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts of citations read from style files, which are written from the table of styles first: A20."""
+    attr = lambda name, c: F.concat(F.lit(f' {name}="'), records.escape_xml(F.col(c)), F.lit('"'))
+    head = F.concat(F.lit('<style xmlns="http://purl.org/net/xbiblio/csl"><citation'), F.when(F.col("collapse"), ' collapse="citation-number"').otherwise(""), F.lit("><layout"), attr("prefix", "prefix"), attr("suffix", "suffix"), attr("delimiter", "delimiter"), F.when(F.col("superscript"), ' vertical-align="sup"').otherwise(""), F.lit(">"))
+    xml = F.concat(head, F.lit("<group"), attr("prefix", "number_prefix"), attr("suffix", "number_suffix"), F.lit('><text variable="citation-number"/></group></layout></citation></style>'))
+    rows = num.styles(spark).select("style", "author_date", num.style_layouts(xml, F.col("author_date"), F.lit(False)).alias("l"))
+    return rows.select("style", "l.prefix", "l.suffix", "l.delimiter", "l.collapse", "l.superscript", "author_date", "l.number_prefix", "l.number_suffix")
+
+
+@query(
+    """SELECT row_id, substr(coalesce(abstract, ''), 1, 2000) AS abstract, array_to_string(list_transform(authors[1:6], lambda a: trim(concat_ws(' ', a.last_name, a.initials))), ', ') || CASE WHEN len(authors) > 6 THEN ' et al.' ELSE '' END AS authors, array_to_string(coalesce(mesh_terms, [])[1:10], '; ') AS mesh FROM references_library WHERE authors IS NOT NULL"""
+)
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works as they are shown in short: B14."""
+    rows = read_table(spark, sf_dir, "references_library").where("authors is not null")
+    return rows.select("row_id", *records.summary(F.col("abstract"), F.col("authors"), F.col("mesh_terms")))
+
+
+@query(f"SELECT entry_id, coalesce(record_uuid, '') AS uuid, regexp_replace({_BARE_DOI}, '/+$', '') AS doi, coalesce(pmid, '') AS pmid FROM bib_entries WHERE coalesce(record_uuid, '') = trim(coalesce(record_uuid, '')) AND coalesce(pmid, '') = trim(coalesce(pmid, '')) AND NOT starts_with({_BARE_DOI}, 'doi:')")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What entries' works are, read back from their addresses: H37."""
+    rows = read_table(spark, sf_dir, "bib_entries").where("coalesce(record_uuid, '') = trim(coalesce(record_uuid, '')) and coalesce(pmid, '') = trim(coalesce(pmid, ''))").where(~idn.library_doi(F.col("doi")).startswith("doi:"))
+    return rows.select("entry_id", idn.identity_from_uris(idn.record_uris(F.col("record_uuid"), F.col("doi"), F.col("pmid"))).alias("i")).select("entry_id", "i.*")
+
+
+@query("SELECT marker_id, concat_ws(',', CASE WHEN marker_id % 3 = 0 THEN 'low' END, CASE WHEN marker_id % 4 <> 1 THEN 'unresolved' END, CASE WHEN marker_id % 5 = 0 THEN 'warnings' END, CASE WHEN kind = 'SUGGESTED' THEN 'suggested' END) AS views FROM markers")
+def review_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of a review in which each marker is shown: B7."""
+    m = F.col("marker_id")
+    warnings = F.when(m % 5 == 0, F.array(F.lit("w"))).otherwise(F.array().cast("array<string>"))
+    views = rv.review_filters(F.when(m % 3 == 0, "LOW").otherwise("HIGH"), F.when(m % 4 == 1, True), warnings, F.col("kind"))
+    return read_table(spark, sf_dir, "markers").select("marker_id", F.array_join(views, ",").alias("views"))
+
+
+@query(f"WITH {_ENTRIES}, {_GROUPS[len(_HEADS) + 2 :]}, v AS (SELECT DISTINCT doc_id, number FROM numbered) SELECT doc_id, para_index, group_no, number FROM cited SEMI JOIN v USING (doc_id, number)")
+def in_text_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracketed numbers that are entries of the document's bibliography: C10."""
+    return doc.in_text_citations(doc.paragraphs(read_table(spark, sf_dir, "documents")))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\(REFS?\\)')) AS BIGINT) AS n_fields, md5(regexp_replace(text, '\\(REFS?\\)', '', 'g')) AS rest FROM documents WHERE regexp_matches(text, '\\(REFS?\\)')")
+def docx_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word files with a field in place of each marker, read again: A4, A24."""
+    docs = read_table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\(REFS?\)"))
+    files = docs.select("doc_id", docx.with_citations(F.col("text"), r"\(REFS?\)", "ADDIN MY.CITE {}", "").alias("content"))
+    n = docx.fields(files, "doc_id", "content").where(docx.field_kind(F.col("code")) == "citation").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fields"))
+    rest = docx.paragraphs(files, "doc_id", "content").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_index", "text"))).alias("p"))
+    return n.join(rest, "doc_id").select("doc_id", "n_fields", F.md5(F.array_join(F.transform("p", lambda p: p["text"]), "\n")).alias("rest"))

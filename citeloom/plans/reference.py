@@ -803,7 +803,7 @@ def parse_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT row_id, trim(coalesce(pmid, '')) AS pmid, {_SPACED} AS title, coalesce(len(authors), 0) AS n_authors, coalesce(year, 0) AS year, coalesce(journal, '') AS journal, coalesce(is_review, false) AS is_review, coalesce(is_retracted, false) AS is_retracted FROM references_library"""
+    f"""SELECT row_id, trim(coalesce(pmid, '')) AS pmid, {_SPACED} AS title, coalesce(len(authors), 0) AS n_authors, coalesce(year, 0) AS year, coalesce(journal, '') AS journal, coalesce(is_review, false) AS is_review, coalesce(is_retracted, false) AS is_retracted, trim(coalesce(journal_abbrev, '')) AS journal_abbrev, trim(coalesce(doi, '')) AS doi, 'AIM' || CASE WHEN {_SPACED.replace('title', 'abstract')} <> '' THEN ': ' || {_SPACED.replace('title', 'abstract')} ELSE '' END || chr(10) || 'End.' AS abstract, array_to_string(coalesce(mesh_terms, []), '; ') AS mesh FROM references_library"""
 )
 def parse_pubmed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Library rows written as article XML and read again: A12."""
@@ -811,10 +811,11 @@ def parse_pubmed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda t, v: F.concat(F.lit(f"<{t}>"), v, F.lit(f"</{t}>"))
     people = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<struct<last_name:string,first_name:string,initials:string>>")), lambda a: tag("Author", F.concat(tag("LastName", records.escape_xml(a["last_name"])), tag("ForeName", records.escape_xml(a["first_name"]))))), "")
     types = F.concat(F.when(F.col("is_review"), "<PublicationType>Review</PublicationType>").otherwise(""), F.when(F.col("is_retracted"), "<PublicationType>Retracted Publication</PublicationType>").otherwise(""), F.lit("<PublicationType>Journal Article</PublicationType>"))
-    article = tag("Article", F.concat(tag("Journal", F.concat(tag("JournalIssue", tag("PubDate", tag("Year", F.coalesce("year", F.lit(0)).cast("string")))), tag("Title", x("journal")))), tag("ArticleTitle", records.escape_xml(_spaced("title"))), tag("AuthorList", people), tag("PublicationTypeList", types)))
-    xml = tag("PubmedArticle", tag("MedlineCitation", F.concat(tag("PMID", x("pmid")), article)))
+    article = tag("Article", F.concat(tag("Journal", F.concat(tag("JournalIssue", tag("PubDate", tag("Year", F.coalesce("year", F.lit(0)).cast("string")))), tag("Title", x("journal")), tag("ISOAbbreviation", x("journal_abbrev")))), tag("ArticleTitle", records.escape_xml(_spaced("title"))), tag("AuthorList", people), tag("PublicationTypeList", types), F.lit('<ELocationID EIdType="pii">no</ELocationID><ELocationID EIdType="doi">'), x("doi"), F.lit('</ELocationID><Abstract><AbstractText Label="AIM">'), records.escape_xml(_spaced("abstract")), F.lit("</AbstractText><AbstractText>End.</AbstractText></Abstract>")))
+    mesh = tag("MeshHeadingList", F.array_join(F.transform(F.coalesce("mesh_terms", F.array().cast("array<string>")), lambda m: tag("MeshHeading", tag("DescriptorName", records.escape_xml(m)))), ""))
+    xml = tag("PubmedArticle", tag("MedlineCitation", F.concat(tag("PMID", x("pmid")), article, mesh)))
     rows = records.pubmed_articles(read_table(spark, sf_dir, "references_library").select("row_id", xml.alias("xml")), "row_id", "xml")
-    return rows.select("row_id", "pmid", "title", F.coalesce(F.size("authors"), F.lit(0)).alias("n_authors"), "year", "journal", "is_review", "is_retracted")
+    return rows.select("row_id", "pmid", "title", F.coalesce(F.size("authors"), F.lit(0)).alias("n_authors"), "year", "journal", "is_review", "is_retracted", "journal_abbrev", F.coalesce("doi", F.lit("")).alias("doi"), "abstract", F.array_join("mesh_terms", "; ").alias("mesh"))
 
 
 @query(

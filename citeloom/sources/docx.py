@@ -6,6 +6,7 @@ Files come as bytes (``spark.read.format("binaryFile")``) and are parsed by the
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -182,3 +183,34 @@ def with_field(code: Column, result: Column) -> Column:
         return pd.Series([document_bytes(["text "], None, {0: (c or "", r or "")}) for c, r in zip(codes, results)], dtype="object")
 
     return build(code, result)
+
+
+def cited_document(text: str, marker: str, code: str, result: str) -> bytes:
+    """A Word file of ``text`` in which each match of the pattern ``marker`` is a field of ``code`` that shows ``result``."""
+    field = document_bytes([""], None, {0: (code, result)})
+    with zipfile.ZipFile(io.BytesIO(field)) as z:
+        xml = z.read("word/document.xml").decode()
+    shown = xml[xml.index('<w:r><w:fldChar w:fldCharType="begin"/>') : xml.index("</w:p>")]
+    clean = "".join(c for c in text if c in "\t\n" or ord(c) >= 32)
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+    paras = "".join("<w:p>" + shown.join(run(t) for t in re.split(marker, line)) + "</w:p>" for line in clean.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{paras}</w:body></w:document>')
+    return out.getvalue()
+
+
+def with_citations(text: Column, marker: str, code: str, result: str) -> Column:
+    """`cited_document` of each text; ``marker`` has no groups."""
+
+    @F.pandas_udf("binary")
+    def build(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cited_document(t, marker, code, result))
+
+    return build(text)
+
+
+def without_references(paras: DataFrame, key: str, heading: str = r"(?i)^(?:References|Bibliography)\s*$") -> DataFrame:
+    """Paragraphs up to the last heading of references, which goes with all behind it."""
+    last = paras.where(F.col("text").rlike(heading)).groupBy(key).agg(F.max("para_index").alias("_h"))
+    return paras.join(last, key, "left").where("_h is null or para_index < _h").drop("_h")

@@ -72,7 +72,7 @@ def escape_xml(text: Column) -> Column:
 
 #: The part of an article's XML that is read; everything else is skipped by the parser.
 PUBMED_SCHEMA = (
-    "MedlineCitation struct<PMID:string,Article:struct<Journal:struct<JournalIssue:struct<Volume:string,PubDate:struct<Year:string>>,Title:string,ISOAbbreviation:string>,"
+    "MedlineCitation struct<PMID:string,MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:string>>>,Article:struct<Abstract:struct<AbstractText:array<struct<_Label:string,_VALUE:string>>>,ELocationID:array<struct<_EIdType:string,_VALUE:string>>,Journal:struct<JournalIssue:struct<Volume:string,PubDate:struct<Year:string>>,Title:string,ISOAbbreviation:string>,"
     "ArticleTitle:string,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,Initials:string>>>,PublicationTypeList:struct<PublicationType:array<string>>,"
     "ArticleDate:struct<Year:string>>>, PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>"
 )
@@ -92,7 +92,11 @@ def pubmed_articles(df: DataFrame, key: str, xml: str) -> DataFrame:
         F.filter(F.transform(art["AuthorList"]["Author"], lambda p: F.struct(p["LastName"].alias("last_name"), p["ForeName"].alias("first_name"), p["Initials"].alias("initials"))), lambda p: p["last_name"].isNotNull()).alias("authors"),
         F.coalesce(art["Journal"]["JournalIssue"]["PubDate"]["Year"].try_cast("int"), art["ArticleDate"]["Year"].try_cast("int"), F.lit(0)).alias("year"),
         F.coalesce(art["Journal"]["Title"], F.lit("")).alias("journal"),
-        ident("doi").alias("doi"),
+        F.coalesce(art["Journal"]["ISOAbbreviation"], F.lit("")).alias("journal_abbrev"),
+        # labelled parts of an abstract stand after one another
+        F.coalesce(F.array_join(F.transform(art["Abstract"]["AbstractText"], lambda p: F.concat_ws(": ", F.nullif(p["_Label"], F.lit("")), F.btrim(F.regexp_replace(p["_VALUE"], r"<[^>]+>", "")))), "\n"), F.lit("")).alias("abstract"),
+        F.coalesce(F.transform(F.col("a.MedlineCitation.MeshHeadingList.MeshHeading"), lambda m: m["DescriptorName"]), F.array().cast("array<string>")).alias("mesh_terms"),
+        F.coalesce(F.try_element_at(F.transform(F.filter(art["ELocationID"], lambda i: i["_EIdType"] == "doi"), lambda i: i["_VALUE"]), F.lit(1)), ident("doi")).alias("doi"),
         F.coalesce(F.exists(types, lambda t: F.contains(F.lower(t), F.lit("review"))), F.lit(False)).alias("is_review"),
         F.coalesce(F.exists(types, lambda t: F.contains(F.lower(t), F.lit("retract"))), F.lit(False)).alias("is_retracted"),
     )
@@ -135,6 +139,14 @@ def endnote_records(df: DataFrame, key: str, xml: str) -> DataFrame:
     ).where("title <> '' or pmid <> '' or doi <> ''")
 
 
+def summary(abstract: Column, authors: Column, mesh: Column) -> list[Column]:
+    """A work in short (B14): 2000 characters of its abstract, six authors, ten subject terms."""
+    names = F.array_join(F.transform(F.slice(authors, 1, 6), lambda a: F.btrim(F.concat_ws(" ", a["last_name"], a["initials"]))), ", ")
+    people = F.concat(names, F.when(F.size(authors) > 6, " et al.").otherwise(""))
+    terms = F.array_join(F.slice(F.coalesce(mesh, F.array().cast("array<string>")), 1, 10), "; ")
+    return [F.substring(F.coalesce(abstract, F.lit("")), 1, 2000).alias("abstract"), people.alias("authors"), terms.alias("mesh")]
+
+
 def csl_item(uuid: Column, title: Column, authors: Column, year: Column, journal: Column, volume: Column, doi: Column, pmid: Column) -> Column:
     """A work as a JSON item of a citation payload; the abstract never travels."""
     people = F.transform(authors, lambda a: F.struct(a["last_name"].alias("family"), F.coalesce(F.nullif(a["first_name"], F.lit("")), a["initials"]).alias("given")))

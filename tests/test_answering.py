@@ -166,3 +166,45 @@ def test_heading_of_a_bibliography(spark):
     paras = spark.createDataFrame([(1, 0, "Heading1", "Old", False), (1, 1, "", "Works", False), (1, 2, "", "", False), (2, 0, "Heading2", "Refs", False), (2, 1, "", "1. an entry", False), (3, 0, "", "Kept", False), (3, 1, "", "x" * 90, False)], "doc_id long, para_index int, style string, text string, in_field boolean")
     spans = spark.createDataFrame([(1, 3, "Kept"), (2, 2, "Kept"), (3, 2, "Kept"), (4, 0, None)], "doc_id long, first int, heading_text string")
     assert {r.doc_id: r.heading_idx for r in trk.bibliography_heading(paras, spans).collect()} == {1: 1, 2: 0, 3: 0, 4: -1}
+
+
+@pytest.mark.parametrize(
+    ("inside", "kw", "want"),
+    [
+        ('<citation collapse="citation-number"><layout prefix="[" suffix="]" delimiter=", "/></citation>', {}, ("[", "]", ", ", True, False, "", "")),
+        ('<citation><layout delimiter=", "><group><group prefix="[" suffix="]"><text variable="citation-number" prefix="n"/></group></group></layout></citation>', {}, ("", "", ", ", False, False, "[n", "]")),
+        ('<citation><layout vertical-align="sup" prefix="(" suffix=")"/></citation>', {}, ("", "", ",", False, True, "", "")),
+        ("<citation><layout/></citation>", {"author_date": True}, ("(", ")", "; ", False, False, "", "")),
+        ("<info/>", {}, ("", "", ",", False, False, "", "")),
+        ("<broken", {}, ("[", "]", ", ", False, False, "", "")),
+        ("<broken", {"superscript": True}, ("", "", ",", False, True, "", "")),
+    ],
+)
+def test_style_files(inside, kw, want):
+    assert num.style_layout(f'<style xmlns="http://purl.org/net/xbiblio/csl">{inside}</style>', **kw) == want
+
+
+def test_style_files_that_are_missing(spark):
+    df = spark.createDataFrame([(None,), ("",)], "x string")
+    assert [r.l.prefix for r in df.select(num.style_layouts(F.col("x"), F.lit(False), F.lit(False)).alias("l")).collect()] == ["[", "["]
+
+
+def test_identities_of_foreign_addresses(spark):
+    from citeloom.functions import identity as idn
+
+    df = spark.createDataFrame([(["x/1", "https://doi.org/10.5/a", "record/u/", "https://doi.org/10.5/b"],), ([],), (None,)], "u array<string>")
+    got = [tuple(r.i) for r in df.select(idn.identity_from_uris(F.col("u")).alias("i")).collect()]
+    assert got == [("u", "10.5/a", ""), ("", "", ""), ("", "", "")]
+
+
+def test_word_files_with_citations(spark):
+    from citeloom.sources import docx
+
+    df = spark.createDataFrame([(1, "a (REF) b (REF)\nline & <two>"), (2, "none"), (3, ""), (4, None)], "id int, t string")
+    files = df.select("id", docx.with_citations(F.col("t"), r"\(REF\)", "ADDIN MY.CITE {}", "[1]").alias("content"))
+    fields = docx.fields(files, "id", "content").collect()
+    assert [(f.id, f.result_text, f.complete) for f in fields] == [(1, "[1]", True)] * 2
+    paras = {(r.id, r.para_index): r.text for r in docx.paragraphs(files, "id", "content").collect()}
+    assert paras == {(1, 0): "a [1] b [1]", (1, 1): "line & <two>", (2, 0): "none", (3, 0): ""}
+    refs = spark.createDataFrame([(1, 0, "References"), (1, 1, "x"), (1, 2, "References"), (1, 3, "1. y"), (2, 0, "z")], "id int, para_index int, text string")
+    assert sorted((r.id, r.para_index) for r in docx.without_references(refs, "id").collect()) == [(1, 0), (1, 1), (2, 0)]
