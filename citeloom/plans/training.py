@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import flatten, segment
+from citeloom.plans.reference import _OBJECT, _PLAIN
 from citeloom.session import read_table
 
 
@@ -38,4 +39,20 @@ def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_tables": p5_tables, "p5_schema": p5_schema}
-ORACLES: dict[str, str] = {}
+
+_LIST = "CASE WHEN coalesce(json_type({0}), 'NULL') = 'NULL' THEN CAST([] AS JSON[]) WHEN json_type({0}) = 'ARRAY' THEN from_json({0}, '[\"JSON\"]') ELSE [{0}] END"
+_SCALAR = "CASE WHEN json_type({0}) IN ('OBJECT', 'ARRAY') THEN NULL ELSE {0} ->> '$' END"
+_THERE = "CASE WHEN coalesce(json_type({0}), 'NULL') <> 'NULL' THEN {0} END"
+_DOC = f"""d AS (SELECT payload_id, CASE WHEN json_valid({_OBJECT.format('payload')}) THEN {_OBJECT.format('payload')}
+WHEN trim(payload) LIKE '\"%' AND json_valid(trim(payload)) AND json_valid({_OBJECT.format("(CAST(trim(payload) AS JSON) ->> '$')")}) THEN {_OBJECT.format("(CAST(trim(payload) AS JSON) ->> '$')")}
+WHEN contains(payload, '&quot;') AND json_valid({_OBJECT.format(_PLAIN)}) THEN {_OBJECT.format(_PLAIN)} END::JSON AS doc FROM cite_payloads),
+l AS (SELECT payload_id, coalesce({_THERE.format("(doc -> '$.citationItems')")}, doc -> '$.items') AS list FROM d WHERE doc IS NOT NULL),
+i AS (SELECT payload_id, unnest({_LIST.format('list')}) AS item, generate_subscripts({_LIST.format('list')}, 1) AS item_pos FROM l),
+r AS (SELECT payload_id, CAST(item_pos AS INT) AS item_pos, item, coalesce({_THERE.format("(item -> '$.itemData')")}, {_THERE.format("(item -> '$.item')")}) AS rec FROM i WHERE json_type(item) = 'OBJECT'),
+c AS (SELECT payload_id, item_pos, 'uri' AS child, {_LIST.format("(item -> '$.uris')")} AS vs FROM r UNION ALL SELECT payload_id, item_pos, 'author', {_LIST.format("(rec -> '$.author')")} FROM r
+UNION ALL SELECT payload_id, item_pos, 'mesh', flatten(list_transform(json_extract(rec, '$.custom.*.meshTerms'), lambda x: {_LIST.format('x')})) FROM r),
+v AS (SELECT payload_id, item_pos, child, CAST(generate_subscripts(vs, 1) AS INT) AS child_pos, unnest(vs) AS v FROM c)"""
+ORACLES = {
+    "p5_found": f"""WITH {_DOC} SELECT payload_id, item_pos, 'item' AS child, 0::INT AS child_pos, coalesce({_SCALAR.format("(item -> '$.id')")}, {_SCALAR.format("(rec -> '$.id')")}, '') AS val FROM r
+UNION ALL SELECT payload_id, item_pos, child, child_pos, coalesce(CASE WHEN child = 'author' THEN coalesce({_SCALAR.format("(v -> '$.family')")}, {_SCALAR.format("(v -> '$.literal')")}) END, {_SCALAR.format('v')}, '') FROM v"""
+}
