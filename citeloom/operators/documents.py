@@ -115,3 +115,22 @@ def snippet(text: Column, anchor: Column, anchor_len: Column, most: int = 1200)
 def strip_placeholders(text: Column) -> Column:
     """Without placeholders and the white space before them (B2)."""
     return F.btrim(F.regexp_replace(text, r"\s*\(REFS?\)", ""))
+
+
+def sub_claims_at(text: Column, spans: Column) -> Column:
+    """For each span (start, end) of a text what stands before and after it, up to its neighbours (H7); no spans, no parts."""
+    n = F.length(text)
+    near = lambda k, field, other: F.coalesce(F.try_element_at(spans, k)[field], other)
+
+    def parts(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, near(F.when(i > 0, i), "end", F.lit(0))).otherwise(0)
+        after = near(i + 2, "start", n)
+        cut = lambda a, b: F.btrim(F.substring(text, a + 1, b - a))
+        return F.struct(cut(before, s["start"]).alias("before"), cut(s["end"], after).alias("after"))
+
+    return F.transform(spans, parts)
+
+
+def style_vote(n_superscript: Column, n_bracket: Column) -> Column:
+    """The shape of a document's citations: raised where there are as many raised as bracketed ones or more."""
+    return F.when(F.coalesce(n_superscript, F.lit(0)) + F.coalesce(n_bracket, F.lit(0)) == 0, "none").when(F.coalesce(n_superscript, F.lit(0)) >= F.coalesce(n_bracket, F.lit(0)), "superscript").otherwise("bracket")

@@ -207,3 +207,22 @@ def item_children(payloads: DataFrame, payload_id: str = "payload_id", payload:
     val = F.when(F.col("child") == "item", own).when(F.col("child") == "author", family).otherwise(F.coalesce(as_text(v), F.lit("")))
     pos = F.when(F.col("child") == "item", 0).otherwise(F.try_element_at("ordinals", F.lit(2)))
     return of_items.select(F.col("root_id").alias("payload_id"), F.element_at("ordinals", 1).alias("item_pos"), "child", pos.alias("child_pos"), val.alias("val"))
+
+
+#: The newest payload version that is understood.
+PAYLOAD_VERSION = 2
+
+
+def payload_gate(payloads: DataFrame, payload_id: str = "payload_id", payload: str = "payload") -> DataFrame:
+    """(payload_id, tier, problems): whether a payload can be used, and what had to be overlooked.
+
+    A payload of a newer version is not read further; one without items or with items without an id is read with that problem."""
+    doc = payloads.select(F.col(payload_id).alias("payload_id"), json_in_text(F.col(payload)).alias("doc"))
+    blocks = F.map_values(F.try_variant_get("doc", "$", "map<string, variant>"))
+    version = F.array_max(F.transform(blocks, lambda b: F.try_variant_get(b, "$.v", "int")))
+    items = F.filter(as_list(_step(F.col("doc"), (ITEMS,), OLDER_KEYS)), is_object)
+    named = lambda i: F.coalesce(as_text(at(i, "$.id")), as_text(at(_step(i, ("itemData",), OLDER_KEYS), "$.id")), F.lit("")) != ""
+    read = doc.select("payload_id", F.col("doc").isNull().alias("none"), F.coalesce(version, F.lit(0)).alias("v"), F.size(items).alias("n"), F.size(F.filter(items, lambda i: ~named(i))).alias("nameless"))
+    tier = F.when(F.col("none"), "unreadable").when(F.col("v") > PAYLOAD_VERSION, "newer").otherwise("readable")
+    problems = F.when(tier == "readable", F.array_compact(F.array(F.when(F.col("n") == 0, "no items"), F.when(F.col("nameless") > 0, "items without id")))).otherwise(F.array().cast("array<string>"))
+    return read.select("payload_id", tier.alias("tier"), problems.alias("problems"))

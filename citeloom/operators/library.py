@@ -1,4 +1,4 @@
-"""The reference library: ranked search, lookups, cascades over sources, upserts."""
+"""The reference library: ranked search, lookups, cascades over sources, upserts."""
 
 from __future__ import annotations
 
@@ -252,3 +252,20 @@ def compile_query(query: str) -> Column:
     if at != len(tokens):
         raise ValueError(f"can't read query: {query}")
     return predicate
+
+
+def review_merged(original: DataFrame, found: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """Works of a review with what was found of them (K4): the original's fields win, blank ones are filled, authors only where it has none."""
+    o, f = original.alias("o"), found.alias("f")
+    both = o.join(f, F.col(f"o.{key}") == F.col(f"f.{key}"), "left")
+    fill = lambda c: F.coalesce(F.nullif(F.btrim(f"o.{c}"), F.lit("")), F.col(f"f.{c}"), F.lit("")).alias(c)
+    people = F.when(F.coalesce(F.size("o.authors"), F.lit(0)) > 0, F.col("o.authors")).otherwise(F.col("f.authors"))
+    return both.select(f"o.{key}", *[fill(c) for c in texts], F.coalesce(F.nullif("o.year", F.lit(0)), "f.year", F.lit(0)).alias("year"), people.alias("authors"))
+
+
+def full_text_id(works: DataFrame, by_pmid: DataFrame, by_doi: DataFrame) -> DataFrame:
+    """(work_id, pmcid): the identifier of a work's full text (R9): the given one, else the one known for its PMID, else for its DOI."""
+    p = by_pmid.where("pmid <> '' and pmcid <> ''").groupBy("pmid").agg(F.min("pmcid").alias("p_pmcid"))
+    d = by_doi.where("doi <> '' and pmcid <> ''").groupBy("doi").agg(F.min("pmcid").alias("d_pmcid"))
+    own = F.nullif(F.coalesce("pmcid", F.lit("")), F.lit(""))
+    return works.join(p, "pmid", "left").join(d, "doi", "left").select("work_id", F.coalesce(own, "p_pmcid", "d_pmcid", F.lit("")).alias("pmcid"))

@@ -14,6 +14,7 @@ from citeloom.functions import numbers as num
 from citeloom.operators import answers as ans
 from citeloom.operators import documents as doc
 from citeloom.operators import evidence as evd
+from citeloom.operators import library as lib
 from citeloom.operators import markers as mk
 from citeloom.operators import review as rv
 from citeloom.operators import searching as sch
@@ -647,3 +648,65 @@ def docx_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = docx.fields(files, "doc_id", "content").where(docx.field_kind(F.col("code")) == "citation").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fields"))
     rest = docx.paragraphs(files, "doc_id", "content").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_index", "text"))).alias("p"))
     return n.join(rest, "doc_id").select("doc_id", "n_fields", F.md5(F.array_join(F.transform("p", lambda p: p["text"]), "\n")).alias("rest"))
+
+
+@query(
+    """WITH f AS (SELECT title AS k, arg_min({'journal': journal, 'year': year, 'n': len(authors)}, cand_id) AS f FROM candidates WHERE title IS NOT NULL GROUP BY title)
+SELECT entry_id, coalesce(nullif(trim(journal), ''), f.f.journal, '') AS journal, coalesce(nullif(year, 0), f.f.year, 0) AS year, CASE WHEN entry_id % 2 = 0 THEN 1 ELSE f.f.n END AS n_authors FROM bib_entries e LEFT JOIN f ON f.k = e.title"""
+)
+def review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries filled from the works of the same title: K4."""
+    c = read_table(spark, sf_dir, "candidates").where("title is not null").groupBy("title").agg(F.min_by(F.struct("journal", "year", "authors"), "cand_id").alias("f")).select("title", "f.*")
+    one = F.array(F.struct(F.lit("x").alias("last_name"), F.lit("").alias("first_name"), F.lit("").alias("initials")))
+    e = read_table(spark, sf_dir, "bib_entries").withColumn("authors", F.when(F.col("entry_id") % 2 == 0, one))
+    ids = e.select("entry_id", F.col("title").alias("k"))
+    found = ids.join(c, F.col("k") == F.col("title")).select("entry_id", "journal", "year", "authors")
+    out = lib.review_merged(e.select("entry_id", "journal", "year", "authors"), found, "entry_id", ["journal"])
+    return out.select("entry_id", "journal", "year", F.when(F.col("authors").isNotNull(), F.size("authors")).alias("n_authors"))
+
+
+@query(
+    """WITH p AS (SELECT trim(pmid) AS pmid, min(pmcid) AS c FROM references_library WHERE trim(pmid) <> '' AND pmcid <> '' GROUP BY 1), d AS (SELECT trim(doi) AS doi, min(pmcid) AS c FROM references_library WHERE trim(doi) <> '' AND pmcid <> '' GROUP BY 1)
+SELECT row_id AS work_id, coalesce(nullif(CASE WHEN row_id % 3 = 0 THEN r.pmcid END, ''), p.c, d.c, '') AS pmcid FROM references_library r LEFT JOIN p ON p.pmid = trim(r.pmid) LEFT JOIN d ON d.doi = trim(r.doi)"""
+)
+def full_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text identifiers: given, by PMID, by DOI: R9."""
+    rows = read_table(spark, sf_dir, "references_library").select("row_id", "pmcid", F.btrim("pmid").alias("pmid"), F.btrim("doi").alias("doi"))
+    works = rows.select(F.col("row_id").alias("work_id"), "pmid", "doi", F.when(F.col("row_id") % 3 == 0, F.col("pmcid")).alias("pmcid"))
+    return lib.full_text_id(works, rows.select("pmid", "pmcid"), rows.select("doi", "pmcid"))
+
+
+@query("SELECT doc_id, count(DISTINCT title) FILTER (WHERE entry_id % 3 <> 0 AND coalesce(title, '') <> '') AS addable, count(*) FILTER (WHERE entry_id % 3 <> 0) AS accepted, count(*) AS total, bool_and(entry_id % 3 <> 0) AS all_accepted FROM bib_entries GROUP BY doc_id")
+def addable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted selections of each document and the distinct works among them: D11."""
+    ok = F.col("entry_id") % 3 != 0
+    named = F.when(ok & (F.coalesce("title", F.lit("")) != ""), F.col("title"))
+    return read_table(spark, sf_dir, "bib_entries").groupBy("doc_id").agg(F.count_distinct(named).alias("addable"), F.count_if(ok).alias("accepted"), F.count(F.lit(1)).alias("total"), F.every(ok).alias("all_accepted"))
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT title FROM references_library WHERE title IS NOT NULL), c AS (SELECT cand_id, CASE WHEN coalesce(trim(c.title), '') = '' THEN 'skipped' WHEN k.title IS NOT NULL THEN 'updated' ELSE 'imported' END AS status FROM candidates c LEFT JOIN k ON k.title = c.title)
+SELECT status, count(*) AS n FROM c GROUP BY status"""
+)
+def import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of an import are new, known or skipped: D8."""
+    known = read_table(spark, sf_dir, "references_library").select("title", F.lit(True).alias("known")).where("title is not null").distinct()
+    status = F.when(F.coalesce(F.btrim("title"), F.lit("")) == "", "skipped").when(F.col("known"), "updated").otherwise("imported")
+    return read_table(spark, sf_dir, "candidates").join(known, "title", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN s + b = 0 THEN 'none' WHEN s >= b THEN 'superscript' ELSE 'bracket' END AS style FROM (SELECT doc_id, len(regexp_extract_all(text, '[a-z]\\.[0-9]+')) AS s, len(regexp_extract_all(text, '\\[[0-9]')) AS b FROM documents WHERE text IS NOT NULL)"""
+)
+def style_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's citations are raised or bracketed, by vote: D6."""
+    n = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", doc.style_vote(n(r"[a-z]\.[0-9]+"), n(r"\[[0-9]")).alias("style"))
+
+
+@query()
+def sub_claims_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each marker of a text stands for, up to its neighbours, by the full grammar: H7."""
+    rows = read_table(spark, sf_dir, "sentences").where(F.contains("raw_text", F.lit("("))).select("block_id", "raw_text", mk.markers_column(F.col("raw_text")).alias("ms"))
+    parts = rows.select("block_id", F.posexplode(doc.sub_claims_at(F.col("raw_text"), F.col("ms"))).alias("p", "c"))
+    return parts.select("block_id", (F.col("p") + 1).alias("marker"), "c.before", "c.after")

@@ -38,7 +38,13 @@ def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.merged_schema(payloads, "doc")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_tables": p5_tables, "p5_schema": p5_schema}
+def payload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which payloads can be used, and with what problems: A25."""
+    gate = flatten.payload_gate(read_table(spark, sf_dir, "cite_payloads"))
+    return gate.select("payload_id", "tier", F.array_join("problems", ", ").alias("problems"))
+
+
+QUERIES = {"payload_gate": payload_gate, "p3_found": p3_found, "p5_found": p5_found, "p5_tables": p5_tables, "p5_schema": p5_schema}
 
 _LIST = "CASE WHEN coalesce(json_type({0}), 'NULL') = 'NULL' THEN CAST([] AS JSON[]) WHEN json_type({0}) = 'ARRAY' THEN from_json({0}, '[\"JSON\"]') ELSE [{0}] END"
 _SCALAR = "CASE WHEN json_type({0}) IN ('OBJECT', 'ARRAY') THEN NULL ELSE {0} ->> '$' END"
@@ -54,5 +60,8 @@ UNION ALL SELECT payload_id, item_pos, 'mesh', flatten(list_transform(json_extra
 v AS (SELECT payload_id, item_pos, child, CAST(generate_subscripts(vs, 1) AS INT) AS child_pos, unnest(vs) AS v FROM c)"""
 ORACLES = {
     "p5_found": f"""WITH {_DOC} SELECT payload_id, item_pos, 'item' AS child, 0::INT AS child_pos, coalesce({_SCALAR.format("(item -> '$.id')")}, {_SCALAR.format("(rec -> '$.id')")}, '') AS val FROM r
-UNION ALL SELECT payload_id, item_pos, child, child_pos, coalesce(CASE WHEN child = 'author' THEN coalesce({_SCALAR.format("(v -> '$.family')")}, {_SCALAR.format("(v -> '$.literal')")}) END, {_SCALAR.format('v')}, '') FROM v"""
+UNION ALL SELECT payload_id, item_pos, child, child_pos, coalesce(CASE WHEN child = 'author' THEN coalesce({_SCALAR.format("(v -> '$.family')")}, {_SCALAR.format("(v -> '$.literal')")}) END, {_SCALAR.format('v')}, '') FROM v""",
+    "payload_gate": f"""WITH {_DOC}, n AS (SELECT payload_id, count(*) AS n, count(*) FILTER (WHERE coalesce({_SCALAR.format("(item -> '$.id')")}, {_SCALAR.format("(rec -> '$.id')")}, '') = '') AS nameless FROM r GROUP BY payload_id),
+g AS (SELECT d.payload_id, CASE WHEN doc IS NULL THEN 'unreadable' WHEN coalesce(list_max(list_transform(json_extract(doc, '$.*.v'), lambda x: TRY_CAST(x ->> '$' AS INT))), 0) > 2 THEN 'newer' ELSE 'readable' END AS tier, coalesce(n, 0) AS n, coalesce(nameless, 0) AS nameless FROM d LEFT JOIN n USING (payload_id))
+SELECT payload_id, tier, CASE WHEN tier = 'readable' THEN concat_ws(', ', CASE WHEN n = 0 THEN 'no items' END, CASE WHEN nameless > 0 THEN 'items without id' END) ELSE '' END AS problems FROM g""",
 }

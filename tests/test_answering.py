@@ -208,3 +208,36 @@ def test_word_files_with_citations(spark):
     assert paras == {(1, 0): "a [1] b [1]", (1, 1): "line & <two>", (2, 0): "none", (3, 0): ""}
     refs = spark.createDataFrame([(1, 0, "References"), (1, 1, "x"), (1, 2, "References"), (1, 3, "1. y"), (2, 0, "z")], "id int, para_index int, text string")
     assert sorted((r.id, r.para_index) for r in docx.without_references(refs, "id").collect()) == [(1, 0), (1, 1), (2, 0)]
+
+
+def test_parts_around_markers(spark):
+    from citeloom.operators import documents as dc
+
+    df = spark.createDataFrame([("A b (REF) c (REFS).",), ("none",), (None,), ("(REF)",)], "t string")
+    got = [None if r.c is None else [(x.before, x.after) for x in r.c] for r in df.select(dc.sub_claims_at(F.col("t"), mk.markers_column(F.col("t"))).alias("c")).collect()]
+    assert got == [[("A b", "c"), ("c", ".")], [], [], [("", "")]]
+    votes = spark.createDataFrame([(1, 1), (0, 2), (0, 0), (None, None)], "s int, b int")
+    assert [r.v for r in votes.select(dc.style_vote(F.col("s"), F.col("b")).alias("v")).collect()] == ["superscript", "bracket", "none", "none"]
+
+
+def test_payload_gate(spark):
+    from citeloom.operators import flatten
+
+    rows = [(1, '{"citationItems": [{"id": "a"}], "app": {"v": 2}}'), (2, '{"app": {"v": 3}, "citationItems": []}'), (3, '{"items": {"item": {"id": "b"}}}'), (4, '{"items": [{}, 5]}'), (5, "{"), (6, None), (7, "{}")]
+    df = spark.createDataFrame(rows, "payload_id long, payload string")
+    got = {r.payload_id: (r.tier, list(r.problems)) for r in flatten.payload_gate(df).collect()}
+    assert got == {1: ("readable", []), 2: ("newer", []), 3: ("readable", []), 4: ("readable", ["items without id"]), 5: ("unreadable", []), 6: ("unreadable", []), 7: ("readable", ["no items"])}
+
+
+def test_review_merge_and_full_text_ids(spark):
+    from citeloom.operators import library as lib
+
+    kind = "id int, title string, year int, authors array<struct<last_name:string>>"
+    original = spark.createDataFrame([(1, "T", 0, []), (2, " ", 1990, [("A",)]), (3, None, None, None)], kind)
+    found = spark.createDataFrame([(1, "U", 2001, [("B",)]), (2, "V", 1, [("C",)])], kind)
+    got = {r.id: (r.title, r.year, None if r.authors is None else [a.last_name for a in r.authors]) for r in lib.review_merged(original, found, "id", ["title"]).collect()}
+    assert got == {1: ("T", 2001, ["B"]), 2: ("V", 1990, ["A"]), 3: ("", 0, None)}
+    works = spark.createDataFrame([(1, "1", "d", "PMC9"), (2, "1", "d", ""), (3, "x", "d", None), (4, None, None, None)], "work_id int, pmid string, doi string, pmcid string")
+    p = spark.createDataFrame([("1", "PMC2"), ("1", "PMC1"), ("", "PMC0")], "pmid string, pmcid string")
+    d = spark.createDataFrame([("d", "PMC5")], "doi string, pmcid string")
+    assert {r.work_id: r.pmcid for r in lib.full_text_id(works, p, d).collect()} == {1: "PMC9", 2: "PMC1", 3: "PMC5", 4: ""}
