@@ -120,15 +120,18 @@ def strip_placeholders(text: Column) -> Column:
 def sub_claims_at(text: Column, spans: Column) -> Column:
     """For each span (start, end) of a text what stands before and after it, up to its neighbours (H7); no spans, no parts."""
     n = F.length(text)
-    near = lambda k, field, other: F.coalesce(F.try_element_at(spans, k)[field], other)
 
-    def parts(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, near(F.when(i > 0, i), "end", F.lit(0))).otherwise(0)
-        after = near(i + 2, "start", n)
-        cut = lambda a, b: F.btrim(F.substring(text, a + 1, b - a))
-        return F.struct(cut(before, s["start"]).alias("before"), cut(s["end"], after).alias("after"))
+    def around(all_spans: Column) -> Column:
+        near = lambda k, field, other: F.coalesce(F.try_element_at(all_spans, k)[field], other)
 
-    return F.transform(spans, parts)
+        def parts(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, near(F.when(i > 0, i), "end", F.lit(0))).otherwise(0)
+            cut = lambda a, b: F.btrim(F.substring(text, a + 1, b - a))
+            return F.struct(cut(before, s["start"]).alias("before"), cut(s["end"], near(i + 2, "start", n)).alias("after"))
+
+        return F.transform(all_spans, parts)
+
+    return evaluated(spans, around)
 
 
 def style_vote(n_superscript: Column, n_bracket: Column) -> Column:
