@@ -164,8 +164,7 @@ def _blocked(entry_keys: DataFrame, cand_keys: DataFrame) -> DataFrame:
         entry_keys = sized(entry_keys).select("text_id", F.xxhash64("key", F.pmod(F.xxhash64("text_id"), "parts")).alias("key"))
         every = F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)
         cand_keys = sized(cand_keys).select("cand_id", "key", F.explode(every).alias("part")).select("cand_id", F.xxhash64("key", "part").alias("key"))
-    # dealt out by candidate, where its features are needed next
-    return entry_keys.join(cand_keys, "key").select("text_id", "cand_id").repartition("cand_id").distinct()
+    return entry_keys.join(cand_keys, "key").select("text_id", "cand_id").distinct()
 
 
 def _levels() -> dict[str, Column]:
