@@ -145,3 +145,15 @@ def test_large_groups_meet_in_blocks(spark):
     small = survivor.surviving_values(df, ["g", "field_name"], block=8).collect()
     whole = survivor.surviving_values(df, ["g", "field_name"], block=1000).collect()
     assert [tuple(r) for r in small] == [tuple(r) for r in whole] == [(1, "f", 4)]
+
+
+def test_best_rows_need_no_alignment(spark):
+    rng = random.Random(3)
+    rows = [(g, "f", g * 100 + i, rng.choice(["a b", "a b c", "A, B.", "x"]), rng.choice([-1, 0, 6]), rng.choice([None, datetime(2020, 1, 1), datetime(2021, 1, 1)])) for g in range(40) for i in range(rng.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "g long, field_name string, row_id long, value string, trust int, added_at timestamp")
+    best = survivor.best_rows(df, ["g", "field_name"])
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, survivor.surviving_values(df, ["g", "field_name"]).collect()))
+    trust = spark.createDataFrame([("pubmed", 6)], "source string, trust int")
+    library = spark.createDataFrame([], LIBRARY)
+    plan = survivor.library_survivors(library, copies.library_groups(library).where("row_id > 0"), trust)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "winner" not in plan and "max(" in plan
