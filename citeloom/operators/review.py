@@ -42,6 +42,19 @@ def _bigrams(titles: list[str]) -> np.ndarray:
     return out
 
 
+def _letter_counts(titles: list[str], letters: dict[str, int]) -> np.ndarray:
+    """(n, letters) how often each letter occurs."""
+    out = np.zeros((len(titles), len(letters)), np.int16)
+    for row, t in zip(out, titles):
+        row[:] = np.bincount([letters[c] for c in t], minlength=len(letters))
+    return out
+
+
+def common_letters(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many letters rows a[left[k]] and b[right[k]] of `_letter_counts` have in common in any order: no common subsequence is longer."""
+    return np.minimum(a[left], b[right]).sum(1, dtype=np.int64)
+
+
 def common_lengths(xs: list[str], ys: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of xs[left[k]] and ys[right[k]], bit-parallel, all pairs at once."""
     letters = {c: n for n, c in enumerate(sorted({c for y in ys for c in y}))}
@@ -72,11 +85,13 @@ def like_titles(xs: list[str], ys: list[str], least: float) -> list[tuple[int, i
     """(i, j, ratio) of all bare titles with a ratio of ``least`` or more by matching blocks.
 
     Matching blocks are a common subsequence, so a ratio allows for (1 - ratio) of both lengths in lost and added
-    letters. Each changes at most three bigrams. Pairs that share too few bigrams or letters in order are left out
-    before the ratio is taken; this loses nothing."""
+    letters. Each changes at most three bigrams. Pairs that share too few bigrams, letters in any order or letters in order are
+    left out before the ratio is taken; this loses nothing."""
     out: list[tuple[int, int, float]] = []
     n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
     a, b = _bigrams(xs), _bigrams(ys)
+    letters = {c: k for k, c in enumerate(sorted({c for t in (*xs, *ys) for c in t}))}
+    counts_a, counts_b = _letter_counts(xs, letters), _letter_counts(ys, letters)
     for at in range(0, len(xs), 256):
         both = n[at : at + 256, None] + m[None]
         edits = np.floor((1 - least) * both + 1e-9)
@@ -85,6 +100,8 @@ def like_titles(xs: list[str], ys: list[str], least: float) -> list[tuple[int, i
         left, right = np.nonzero(near)
         for some in range(0, len(left), 50_000):
             i, j = left[some : some + 50_000], right[some : some + 50_000]
+            mixed = both[i, j] - 2 * common_letters(counts_a[at : at + 256], counts_b, i, j) <= edits[i, j]
+            i, j = i[mixed], j[mixed]
             kept = both[i, j] - 2 * common_lengths(xs[at : at + 256], ys, i, j) <= edits[i, j]
             ratios = ((int(p) + at, int(q), SequenceMatcher(None, xs[p + at], ys[q]).ratio()) for p, q in zip(i[kept], j[kept]))
             out += [r for r in ratios if r[2] >= least]

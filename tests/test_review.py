@@ -73,6 +73,23 @@ def test_fuzzy_titles_against_brute_force(spark, monkeypatch):
     assert {(0, 900), (3, 901)} <= want and (1, 1) in {(i % 27, j % 27) for i, j in want}
 
 
+def test_pairs_without_enough_letters_are_left_out_before_their_order_is_compared(monkeypatch):
+    rng = random.Random(5)
+    words = ["bone", "colour", "silencing", "of", "mice", "after", "klik24", "a", "change", "in", "density", "aged", "rats", "secretion"]
+    titles = [" ".join(rng.choices(words, k=rng.randrange(5, 9))) for _ in range(150)]
+    want = {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if SequenceMatcher(None, x, y).ratio() >= 0.85}
+    shared = lambda x, y: sum(min(x.count(c), y.count(c)) for c in set(x))
+    taken, true = [], rv.common_lengths
+
+    def spy(xs, ys, left, right):
+        taken.extend((xs[i], ys[j]) for i, j in zip(left, right))
+        return true(xs, ys, left, right)
+
+    monkeypatch.setattr(rv, "common_lengths", spy)
+    assert {(i, j) for i, j, _ in rv.like_titles(titles, titles, 0.85)} == want
+    assert taken and all(len(x) + len(y) - 2 * shared(x, y) <= 0.15 * (len(x) + len(y)) + 1e-6 for x, y in taken)
+
+
 def test_selection_and_message(spark):
     slots = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))
     assert one(spark, rv.rebuilt_selection(slots, F.array(F.lit("b"), F.lit("c")))) == ["b", "c"]
